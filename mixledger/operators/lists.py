@@ -147,6 +147,7 @@ def set_table(checked: DataFrame, links: DataFrame | None = None) -> DataFrame:
     rows = own(checked)
     name = F.when(F.col("kind") == "named", label("artist", "title", "version")).otherwise("ID")
     held = F.filter("candidates", lambda c: c["identity_match"].isin("different_version", "similar_credits"))
+    first = F.get(held, F.lit(0))
     rows = rows.select(
         "list_id",
         "position",
@@ -155,7 +156,7 @@ def set_table(checked: DataFrame, links: DataFrame | None = None) -> DataFrame:
         (F.col("state") == "satisfied").alias("in_crate"),
         F.when(
             F.col("own").isin("other_mix", "maybe"),
-            label(held[0]["artist"], held[0]["title"], held[0]["version"]),
+            label(first["artist"], first["title"], first["version"]),
         ).alias("you_own"),
     )
     return rows if links is None else rows.join(links, ["list_id", "position"], "left")

@@ -309,7 +309,7 @@ def _spellings(items: DataFrame, resolved: DataFrame) -> DataFrame:
         "item_id",
         F.when(F.col("_hit").isNotNull(), hit["exact"]).otherwise(empty).alias("exact"),
         F.aggregate("_tried", empty, merge).alias("candidates"),
-        F.when(F.col("_hit").isNull(), F.col("_tried")[0]["maybe"]).otherwise(empty).alias("maybe"),
+        F.when(F.col("_hit").isNull(), F.get("_tried", F.lit(0))["maybe"]).otherwise(empty).alias("maybe"),
         F.exists("_tried", lambda t: t["truncated"]).alias("truncated"),
         F.when(
             F.col("_hit") > 0,
@@ -319,6 +319,8 @@ def _spellings(items: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 MATCHED_AS = "struct<label:string,source:string>"
+ACCEPTED = "struct<recording_id:string,revision_id:string,path:string,basis:string>"
+ANSWER = ["state", "accepted", "candidates", "exact_count", "candidates_truncated", "matched_as"]
 
 
 def _chosen(items: DataFrame, held: DataFrame, limit: int) -> DataFrame:
@@ -414,38 +416,51 @@ def check_lists(
         labels, held, max_candidates=max_candidates, max_related=max_related, max_maybe=max_maybe
     )
     plain = named.where(F.coalesce(F.size("also"), F.lit(0)) <= 0) if has_also else named
-    direct = plain.join(resolved, LABEL, "left").select(
-        *rows.columns,
-        "exact",
-        F.concat("matches", "related").alias("candidates"),
-        "maybe",
-        "truncated",
-        F.lit(None).cast(MATCHED_AS).alias("matched_as"),
-    )
+    no_choice = F.lit(None).cast("struct<recording_id:string,revision_id:string>")
+    # What a label alone decides is decided once per label, then joined to its items.
+    settled = _decide(
+        resolved.select(
+            *LABEL,
+            F.lit("named").alias("kind"),
+            no_choice.alias("choice"),
+            "exact",
+            F.concat("matches", "related").alias("candidates"),
+            "maybe",
+            "truncated",
+            F.lit(None).cast(MATCHED_AS).alias("matched_as"),
+        )
+    ).select(*LABEL, *ANSWER)
+    direct = plain.join(settled, LABEL, "left").select(*items.columns, *ANSWER)
     parts = [direct]
     if has_also:
         spelled = named.where(F.size("also") > 0)
-        parts.append(spelled.join(_spellings(spelled, resolved), ["list_id", "item_id"], "left"))
+        spelled = spelled.join(_spellings(spelled, resolved), ["list_id", "item_id"], "left")
+        parts.append(_decide(spelled).select(*items.columns, *ANSWER))
     if resolutions is not None:
         picked = rows.where(F.col("choice").isNotNull())
-        parts.append(picked.join(_chosen(picked, held, max_candidates), ["list_id", "item_id"], "left"))
+        picked = picked.join(_chosen(picked, held, max_candidates), ["list_id", "item_id"], "left")
+        parts.append(_decide(picked).select(*items.columns, *ANSWER))
     unknown = rows.where((F.col("kind") != "named") & F.col("choice").isNull())
     empty = F.array().cast(CANDIDATE_TYPE)
     parts.append(
         unknown.select(
-            "*",
-            empty.alias("exact"),
+            *items.columns,
+            F.lit("unknown").alias("state"),
+            F.lit(None).cast(ACCEPTED).alias("accepted"),
             empty.alias("candidates"),
-            empty.alias("maybe"),
-            F.lit(False).alias("truncated"),
+            F.lit(0).alias("exact_count"),
+            F.lit(False).alias("candidates_truncated"),
             F.lit(None).cast(MATCHED_AS).alias("matched_as"),
         )
     )
     every = reduce(lambda a, b: a.unionByName(b), parts)
-    return _decide(every, items.columns)
+    if "source_selected" in items.columns:
+        overlay = F.coalesce("source_selected", F.lit(False)) & ~F.col("state").isin("satisfied", "ambiguous")
+        every = every.withColumn("state", F.when(overlay, "source_selected").otherwise(F.col("state")))
+    return every
 
 
-def _decide(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _decide(rows: DataFrame) -> DataFrame:
     """The state cascade: exactly one verified exact file satisfies."""
     empty = F.array().cast(CANDIDATE_TYPE)
     rows = bind(
@@ -472,13 +487,9 @@ def _decide(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
     rows = bind(rows, state=state)
     missing = (F.col("state") == "missing") & ~picked
-    rows = rows.withColumn(
-        "candidates",
-        F.when(missing, F.concat("candidates", _without(F.col("maybe"), F.col("candidates")))).otherwise(
-            F.col("candidates")
-        ),
-    )
-    first = F.col("_eligible")[0]
+    offered = F.concat("candidates", _without(F.col("maybe"), F.col("candidates")))
+    rows = bind(rows, candidates=F.when(missing, offered).otherwise(F.col("candidates")))
+    first = F.get("_eligible", F.lit(0))
     accepted = F.when(
         F.col("state") == "satisfied",
         F.struct(
@@ -488,16 +499,9 @@ def _decide(rows: DataFrame, columns: list[str]) -> DataFrame:
             F.when(picked, "operator_selection").otherwise("exact_catalog_labels").alias("basis"),
         ),
     )
-    rows = rows.withColumn("accepted", accepted)
-    if "source_selected" in columns:
-        overlay = F.coalesce("source_selected", F.lit(False)) & ~F.col("state").isin("satisfied", "ambiguous")
-        rows = rows.withColumn("state", F.when(overlay, "source_selected").otherwise(F.col("state")))
     return rows.select(
-        *columns,
-        "state",
-        "accepted",
-        "candidates",
+        "*",
+        accepted.alias("accepted"),
         F.size("exact").alias("exact_count"),
         F.col("truncated").alias("candidates_truncated"),
-        F.when(F.col("state") == "satisfied", F.col("matched_as")).alias("matched_as"),
-    )
+    ).withColumn("matched_as", F.when(F.col("state") == "satisfied", F.col("matched_as")))

@@ -28,7 +28,7 @@ def _known(raw: Column, parsed: Column) -> Column:
     good = F.array_distinct(F.filter(parsed, lambda v: v.isNotNull()))
     known = (F.size(good) == 1) & (F.size(raw) == 1)
     return F.struct(
-        F.when(known, good[0]).alias("value"),
+        F.when(known, F.get(good, F.lit(0))).alias("value"),
         known.alias("known"),
         F.lit(False).alias("verified"),
         F.when(F.size(raw) > 0, "embedded_tag").otherwise("unknown").alias("source"),

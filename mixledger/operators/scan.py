@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK = "_chunk"
 LIGHT_ROWS = 1_000_000
 UP = Window.unboundedPreceding
@@ -36,6 +38,24 @@ class Scan:
     value: Column | None = None
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Which groups are too large for one task: none, those in ``frame``, or every one."""
+
+    frame: DataFrame | None = None
+    every: bool = False
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], light_rows: int | None = LIGHT_ROWS) -> Hot:
+    """The groups above ``light_rows`` rows, found by a counting job that combines before its
+    shuffle. At most rows / ``light_rows`` of them exist. ``None`` treats every group as large."""
+    if light_rows is None:
+        return Hot(every=True)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > light_rows).select(*keys)
+    return Hot() if large.isEmpty() else Hot(cut_lineage(large))
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,18 +64,25 @@ def scan(
     scans: Sequence[Scan],
     *,
     light_rows: int | None = LIGHT_ROWS,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """``df`` with one column per scan. ``order`` must be unique within a group, ascending.
 
-    Groups above ``light_rows`` rows are cut into chunks; with ``None`` every group is.
+    Pass ``hot`` to share one look at group sizes among several scans; its columns may be a subset
+    of ``keys``. While no group is large this is one plain window.
     """
     keys, order = list(keys), list(order)
-    if light_rows is None:
+    if hot is None:
+        hot = hot_groups(df, keys, light_rows)
+    if hot.frame is None and not hot.every:
+        return _plain(df, keys, order, scans)
+    if hot.every:
         rows = df.withColumn(CHUNK, chunk)
     else:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.where(F.col("_n") > light_rows).select(*keys, F.lit(True).alias("_hot"))
-        rows = df.join(hot, keys, "left").withColumn(CHUNK, F.when(F.col("_hot"), chunk))
+        large = hot.frame.withColumn("_hot", F.lit(True))
+        rows = df.join(large, hot.frame.columns, "left").withColumn(CHUNK, F.when(F.col("_hot"), chunk))
+    # The rows are read for the chunk borders and for the scan itself.
+    rows = cut_lineage(rows)
     for s in scans:
         if s.value is not None:
             rows = rows.withColumn(f"_v_{s.name}", s.value)
@@ -127,3 +154,22 @@ def scan(
     rows = rows.withColumns(dict(ahead))
     rows = rows.join(border, [*keys, CHUNK], "left").withColumns(dict(joined))
     return rows.select(*df.columns, *(s.name for s in scans))
+
+
+def _plain(df: DataFrame, keys: list[str], order: list[str], scans: Sequence[Scan]) -> DataFrame:
+    """The same scans as windows over whole groups."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    made = {}
+    for s in scans:
+        made[s.name] = {
+            "number": lambda v: F.row_number().over(w),
+            "lag": lambda v: F.lag(v).over(w),
+            "lead": lambda v: F.lead(v).over(w),
+            "sum": lambda v: F.coalesce(F.sum(v).over(w.rowsBetween(UP, 0)), F.lit(0)),
+            "max": lambda v: F.max(v).over(w.rowsBetween(UP, 0)),
+            "max_before": lambda v: F.max(v).over(w.rowsBetween(UP, -1)),
+            "last": lambda v: F.last(v, ignorenulls=True).over(w.rowsBetween(UP, 0)),
+            "last_before": lambda v: F.last(v, ignorenulls=True).over(w.rowsBetween(UP, -1)),
+            "first_after": lambda v: F.first(v, ignorenulls=True).over(w.rowsBetween(1, DOWN)),
+        }[s.kind](s.value)
+    return df.select("*", *(c.alias(n) for n, c in made.items()))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists"]
+MODULES = ["lists", "timeline"]
 
 
 def _load() -> None:

@@ -17,7 +17,35 @@ def seconds_since(ts: Column, origin: str = "2024-01-01 00:00:00") -> Column:
     span = ts.cast("timestamp_ntz") - F.lit(origin).cast("timestamp_ntz")
     parts = (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60))
     whole = sum(F.extract(F.lit(unit), span).cast("long") * size for unit, size in parts)
-    return whole.cast("double") + F.extract(F.lit("SECOND"), span).cast("double")
+    micros = whole * 1_000_000 + (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("long")
+    return micros / F.lit(1e6)
+
+
+def probes(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as recognition windows: a user is a set, an event type is a song or an error."""
+    failed = F.col("event_type") == "error"
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("set_id"),
+        F.col("event_id").alias("probe_id"),
+        seconds_since(F.col("ts")).alias("at"),
+        F.when(~failed, F.col("event_type")).alias("song"),
+        F.when(failed, F.lit("error")).alias("error"),
+        F.concat(F.lit("p"), (F.col("event_id") % 2).cast("string")).alias("provider"),
+        F.when(~failed & (F.col("event_id") % 3 != 0), F.col("value")).alias("song_offset"),
+        F.lit(0.0).alias("skew"),
+    )
+
+
+def day_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same windows with a day of a user as the set, at in seconds of that day."""
+    rows = probes(spark, folder)
+    day = F.floor(F.col("at") / 86400)
+    return rows.withColumns(
+        {
+            "set_id": F.concat_ws("/", F.col("set_id").cast("string"), day.cast("string")),
+            "at": F.col("at") - day * 86400,
+        }
+    )
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
