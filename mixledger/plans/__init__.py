@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists", "timeline"]
+MODULES = ["lists", "timeline", "records"]
 
 
 def _load() -> None:
