@@ -74,13 +74,12 @@ def dates(text: Column | str) -> Column:
         after = rf"\b{name}[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+((?:19|20)\d{{2}})\b"
         for pattern in (first, after):
             pairs = F.arrays_zip(all_of(pattern, 2).alias("y"), all_of(pattern, 1).alias("d"))
+            month = F.lit(f"{number:02d}")
             found = F.concat(
                 found,
                 F.transform(
                     pairs,
-                    lambda p, n=number: F.try_to_date(
-                        F.concat_ws("-", p["y"], F.lit(f"{n:02d}"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"
-                    ),
+                    lambda p: F.try_to_date(F.concat_ws("-", p["y"], month, F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"),
                 ),
             )
     return F.array_sort(F.array_distinct(F.array_compact(found)))

@@ -18,21 +18,31 @@ SHOPS = {
 
 
 def url_key(url: Column | str) -> Column:
-    """Host and path of an upload without scheme, "www.", "m.", query, fragment or last slash.
-
-    A video page keeps its id, whichever of its address forms was pasted.
-    """
+    """One spelling per upload: "youtube:<id>", else host and lower-case path without scheme,
+    "www.", "m.", last slash or query, but with a parameter that names the video."""
     u = F.trim(col(url))
-    video = F.coalesce(
-        F.nullif(F.regexp_extract(u, r"(?i)^https?://(?:www\.|m\.|music\.)?youtube\.com/watch\?(?:[^#]*&)?v=([\w-]{6,})", 1), F.lit("")),
-        F.nullif(F.regexp_extract(u, r"(?i)^https?://youtu\.be/([\w-]{6,})", 1), F.lit("")),
-    )
     host = F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    host = F.regexp_replace(host, r"^(?:www\.|m\.)", "")
-    path = F.regexp_extract(u, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
-    path = F.regexp_replace(path, r"/+$", "")
-    plain = F.when(host != "", F.concat(host, path))
-    return F.when(video.isNotNull(), F.concat(F.lit("youtube.com/"), video)).otherwise(plain)
+    host = F.regexp_replace(host, r"^(?:www|m|mobile|music)\.", "")
+    path = F.regexp_replace(F.regexp_extract(u, r"(?i)^https?://[^/?#]+([^?#]*)", 1), r"/+$", "")
+
+    def parameter(name: str) -> Column:
+        return F.regexp_extract(u, rf"^[^?#]*\?(?:[^#]*&)?{name}=([^&#]+)", 1)
+
+    watch = path.rlike(r"^/watch(?:/|$)")
+    video = (
+        F.when(host == "youtu.be", F.regexp_extract(path, r"^/([^/]*)", 1))
+        .when(watch, parameter("v"))
+        .otherwise(F.regexp_extract(path, r"^/(?:embed|v|live|shorts)/([^/]*)", 1))
+    )
+    named = F.coalesce(
+        *(F.when(parameter(n) != "", F.concat(F.lit(f"?{n}="), parameter(n))) for n in ("v", "id")),
+        F.lit(""),
+    )
+    on_youtube = host.isin("youtu.be", "youtube.com", "youtube-nocookie.com")
+    return (
+        F.when(on_youtube, F.when(video.rlike(r"^[A-Za-z0-9_-]{11}$"), F.concat(F.lit("youtube:"), video)))
+        .when((host != "") & (path != ""), F.concat(host, F.lower(path), named))
+    )
 
 
 def links_in(text: Column | str) -> Column:

@@ -102,9 +102,14 @@ def history_merge_linked(records: DataFrame, *, order: str = "position") -> Data
             break
     linked = triples.join(part, ["user_id", "triple"])
     user = dict(triples.dtypes)["user_id"]
-    songs = linked.groupBy("user_id", "component").applyInPandas(
+    # Only songs spelled more than one way need linking.
+    sizes = part.groupBy("user_id", "component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    several = linked.join(sizes.drop("_n"), ["user_id", "component"], "left_semi")
+    single = linked.join(sizes.drop("_n"), ["user_id", "component"], "left_anti")
+    songs = several.groupBy("user_id", "component").applyInPandas(
         _greedy, f"user_id {user}, triple string, song string"
     )
+    songs = songs.unionByName(single.select("user_id", "triple", F.col("triple").alias("song")))
     return _fold(rows.join(songs, ["user_id", "triple"]), ["user_id", "song"], order).drop("_order")
 
 

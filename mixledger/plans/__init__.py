@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists", "timeline", "records"]
+MODULES = ["lists", "timeline", "records", "texts", "sets"]
 
 
 def _load() -> None:

@@ -151,9 +151,12 @@ def interval_hints(spark: SparkSession, folder: str) -> DataFrame:
     return hints.select("set_id", F.col("at").alias("t0"), "song", "mentions", "likes", "rank")
 
 
-@query(r"""select page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^(www\.|m\.)', '') ||
-    regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), '^$', '') as url_key,
-  starts_with(url, 'https://') as secure from pages""")
+@query(r"""with u as (select page_id, url,
+    regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^(www|m|mobile|music)\.', '') as host,
+    lower(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')) as path,
+    regexp_extract(url, '^[^?#]*\?(?:[^#]*&)?id=([^&#]+)', 1) as id from pages)
+  select page_id, case when host <> '' and path <> '' then host || path || case when id <> '' then '?id=' || id else '' end end as url_key,
+    starts_with(url, 'https://') as secure from u""")
 def url_keys(spark: SparkSession, folder: str) -> DataFrame:
     pages = views.table(spark, folder, "pages")
     return pages.select("page_id", urls.url_key("url").alias("url_key"), urls.evidence_url("url").alias("secure"))
