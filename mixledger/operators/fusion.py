@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_forms
+from ..session import cut_lineage
 from . import timeline as tl
 from .scan import LIGHT_ROWS, Hot, Scan, hot_groups, scan
 
@@ -59,10 +60,11 @@ def heard_plays(
     probes[set_id, probe_id, at, artist, title, version, error, provider, song_offset, skew].
     """
     hot = hot or hot_groups(probes, ["set_id"], light_rows)
-    known = with_songs(probes)
+    known = cut_lineage(with_songs(probes))
     answered = F.col("error").isNull() & (F.col("title") != "")
     known = known.withColumn("song", F.when(answered, F.concat_ws("|", "core", F.array_join("names", ","))))
-    runs = tl.check_offsets(tl.heard_runs(known, stride=stride, bridge_seconds=bridge, size=size, hot=hot))
+    runs = tl.heard_runs(known, stride=stride, bridge_seconds=bridge, size=size, hot=hot)
+    runs = cut_lineage(tl.check_offsets(cut_lineage(runs)))
     segments = tl.fold_segments(tl.heard_segments(runs, window=window), fold=fold, size=size, hot=hot)
     plays = segments.groupBy("set_id", "song", "play").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("hits").alias("hits")
@@ -199,8 +201,9 @@ def identify_sets(
     hints[set_id, at, artist, title, mentions]: songs listeners named, offered for IDs.
     """
     hot = hot_groups(probes, ["set_id"], light_rows)
-    plays = heard_plays(
-        probes, stride=stride, size=size, bridge=bridge, fold=fold, window=window, hot=hot
+    # What later steps read several times is written once.
+    plays = cut_lineage(
+        heard_plays(probes, stride=stride, size=size, bridge=bridge, fold=fold, window=window, hot=hot)
     )
     if durations is None:
         durations = probes.groupBy("set_id").agg((F.max("at") + window).alias("duration"))
@@ -211,13 +214,13 @@ def identify_sets(
             "artist", "title", "version", "hits", "strength", F.array(F.lit("audio")).alias("sources"),
             F.when(F.col("strength") == "strong", "confirmed").otherwise("likely").alias("status"), F.lit(True).alias("heard"),
         )
-        tracks = _open_ids(named, durations, song_seconds, size, hot)
+        tracks = cut_lineage(_open_ids(named, durations, song_seconds, size, hot))
         weak = plays.where(F.col("strength") == "weak").select("set_id", "play_id", "start", heard.alias("c"))
         tracks, unplaced = _offer(tracks, weak, WEAK_REACH)
     else:
         lists_hot = hot_groups(listings, ["set_id"], light_rows)
-        entries = listed_tracks(listings, hot=lists_hot)
-        matched = match_heard(entries, plays, hot=lists_hot)
+        entries = cut_lineage(listed_tracks(listings, hot=lists_hot))
+        matched = cut_lineage(match_heard(entries, plays, hot=lists_hot))
         heard_rows = plays.select(
             "set_id", "play_id", "start", "end", "hits", "strength", F.struct("artist", "title", "version").alias("_heard")
         )
@@ -225,8 +228,8 @@ def identify_sets(
         early = (F.col("seconds") <= F.col("start")) & (F.col("start") - F.col("seconds") <= tl.STRIDE + tl.WINDOW)
         time = F.when(F.col("start").isNotNull(), F.when(early, F.col("seconds")).otherwise(F.col("start"))).otherwise(F.col("seconds"))
         rows = rows.withColumn("time", time)
-        numbered = scan(
-            rows, ["set_id"], ["position", "entry_id"], F.floor(F.col("position") / 10_000), [Scan("place", "number")], hot=lists_hot
+        numbered = cut_lineage(
+            scan(rows, ["set_id"], ["position", "entry_id"], F.floor(F.col("position") / 10_000), [Scan("place", "number")], hot=lists_hot)
         )
         spaced = tl.interpolate_times(
             numbered.select(
@@ -236,7 +239,7 @@ def identify_sets(
             durations,
             hot=lists_hot,
         ).select("set_id", F.col("position").alias("place"), F.col("time").alias("_time"), "approx")
-        placed = numbered.join(spaced, ["set_id", "place"])
+        placed = cut_lineage(numbered.join(spaced, ["set_id", "place"]))
         free = plays.join(matched.select("set_id", "play_id"), ["set_id", "play_id"], "left_anti")
         solid = free.where(F.col("strength") != "weak")
         # An ID takes the nearest song nobody listed; a strong one beside an unheard listed song is a conflict.
@@ -249,6 +252,7 @@ def identify_sets(
         rivals = _closest_pairs(
             unheard, left.where(F.col("strength") == "strong").select("set_id", F.col("play_id").alias("other"), F.col("start").alias("at")), id_reach
         )
+        fills, rivals = cut_lineage(fills), cut_lineage(rivals)
         links = fills.withColumn("_how", F.lit("fills")).unionByName(rivals.withColumn("_how", F.lit("rival")))
         linked = links.join(
             plays.select("set_id", F.col("play_id").alias("other"), heard.alias("_c")), ["set_id", "other"]
@@ -277,11 +281,12 @@ def identify_sets(
             F.when(F.col("_rival"), "conflict").when(F.col("strength") == "strong", "confirmed").otherwise("likely").alias("status"),
             F.lit(True).alias("heard"), "hits", "strength", F.array(F.lit("audio")).alias("sources"), "end", none.alias("candidates"),
         )
-        tracks = listed.unionByName(own)
+        tracks = cut_lineage(listed.unionByName(own))
         weak = free.where(F.col("strength") == "weak").select("set_id", "play_id", "start", heard.alias("c"))
         tracks, unplaced = _offer(tracks, weak, WEAK_REACH)
     if hints is not None:
         tracks = _hint(tracks, hints)
+    tracks = cut_lineage(tracks)
     ends = tl.end_times(
         scan(
             tracks.where(F.col("start").isNotNull()), ["set_id"], ["start", "entry_id"], tl.hours("start", size), [Scan("position", "number")], hot=hot

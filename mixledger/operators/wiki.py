@@ -9,6 +9,7 @@ from ..functions.clock import dates, same_day
 from ..functions.steps import bind
 from ..functions.text import accent_fold, words_of
 from ..functions.urls import url_key
+from ..session import cut_lineage
 from .scan import Scan, scan
 
 # Wiki markup patterns.
@@ -163,7 +164,7 @@ def wiki_lengths(lines: DataFrame) -> DataFrame:
 
 def parse_wiki_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts per page, tracks) of pages[pageid, title, wikitext]; whole texts are read."""
-    lines = page_lines(pages)
+    lines = cut_lineage(page_lines(pages))
     text = F.regexp_replace("wikitext", COMMENT, "")
     rows = bind(pages.select("pageid", "title", "wikitext"), _text=text)
 
@@ -231,6 +232,7 @@ def match_pages(uploads: DataFrame, facts: DataFrame) -> DataFrame:
     answer. Titles meet on a DJ's name and an event word, never all with all; the best page must lead
     by 0.1.
     """
+    facts, uploads = cut_lineage(facts), cut_lineage(uploads)
     keys = uploads.select("set_id", "duration", url_key("url").alias("key")).where(F.col("key").isNotNull())
     linked = facts.select("pageid", "lengths", F.explode("links").alias("l")).select("pageid", "lengths", url_key("l").alias("key")).distinct()
     hits = keys.join(linked, "key")
@@ -330,7 +332,7 @@ def match_pages(uploads: DataFrame, facts: DataFrame) -> DataFrame:
     ).otherwise(F.col("score") >= STRONG_SCORE)
     # Another possible episode of the same show is a rival whatever its score.
     w = Window.partitionBy("set_id").orderBy(F.desc("_good"), F.desc("score"), "pageid")
-    pairs = pairs.withColumn("_good", F.coalesce(good, F.lit(False)))
+    pairs = cut_lineage(pairs.withColumn("_good", F.coalesce(good, F.lit(False))))
     best = (
         pairs.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & F.col("_good"))
         .select("set_id", "pageid", "score", F.array_sort("names").alias("_names"), F.col("event_keys").alias("_keys"))
