@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists", "timeline", "records", "texts", "sets"]
+MODULES = ["lists", "timeline", "records", "texts", "sets", "upkeep"]
 
 
 def _load() -> None:

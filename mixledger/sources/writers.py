@@ -53,15 +53,29 @@ def write_collection_xml(members: DataFrame, path: str) -> None:
     rows = members.withColumn("track_id", F.col("position") + 1)
     counts = rows.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"))
     n = F.col("n").cast("string")
-    plain = F.regexp_replace(F.regexp_replace("name", "&", "&amp;"), '"', "&quot;")
+    plain = F.col("name")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        plain = F.replace(plain, F.lit(mark), F.lit(entity))
     size = 10**12
+
+    def line(place: int, *parts: str | Column) -> Column:
+        text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+        return F.struct(F.lit(place).cast("long").alias("place"), text.alias("value"))
+
     heads = counts.select(
         "collection_id",
         F.inline(
             F.array(
-                F.struct(F.lit(-1).cast("long").alias("place"), F.concat(F.lit('<DJ_PLAYLISTS Version="1.0.0"><COLLECTION Entries="'), n, F.lit('">')).alias("value")),
-                F.struct(F.lit(size), F.concat(F.lit('</COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="1"><NODE Type="1" KeyType="0" Name="'), plain, F.lit('" Entries="'), n, F.lit('">'))),
-                F.struct(F.lit(3 * size), F.lit("</NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>")),
+                line(-1, '<DJ_PLAYLISTS Version="1.0.0"><COLLECTION Entries="', n, '">'),
+                line(
+                    size,
+                    '</COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="1"><NODE Type="1" KeyType="0" Name="',
+                    plain,
+                    '" Entries="',
+                    n,
+                    '">',
+                ),
+                line(3 * size, "</NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>"),
             )
         ),
     )
