@@ -48,21 +48,6 @@ def _rest(title: Column, kept: Column) -> Column:
     return F.when(kept != "", kept).otherwise(title)
 
 
-def _cut_features(df: DataFrame, source: str, rest: str, found: str) -> DataFrame:
-    """Featured credits of ``source`` as the array ``found``, the text without them as ``rest``."""
-    text = F.col(source)
-    df = bind(
-        df,
-        _cut=F.trim(F.regexp_replace(text, fixed.FEATURED, "")),
-        _bracketed=F.regexp_extract_all(text, F.lit(fixed.FEATURED), F.lit(1)),
-        _bare=F.regexp_extract_all(text, F.lit(fixed.FEATURED), F.lit(2)),
-    )
-    both = F.zip_with("_bracketed", "_bare", lambda a, b: F.when(a != "", a).otherwise(b))
-    empty = F.array().cast("array<string>")
-    columns = {found: F.when(F.col("_cut") != "", both).otherwise(empty), rest: _rest(text, F.col("_cut"))}
-    return bind(df, **columns).drop("_cut", "_bracketed", "_bare")
-
-
 PIECES = [
     "_artist",
     "_title",
@@ -92,34 +77,49 @@ def with_forms(
     def bracketed(name: str) -> Column:
         return F.concat(F.col(name), F.lit(" ("), F.col("_version"), F.lit(")"))
 
+    title_text = F.coalesce(F.col(title), F.lit(""))
     rows = bind(
         df,
         _artist=F.coalesce(F.col(artist), F.lit("")),
-        _title=F.coalesce(F.col(title), F.lit("")),
+        _title=title_text,
         _version=F.coalesce(F.col(version), F.lit("")),
+        _plain=_rest(title_text, F.regexp_replace(title_text, fixed.ORIGINAL_SUFFIX, "")),
+        _credit=without_artist_tags(F.coalesce(F.col(artist), F.lit(""))),
     )
+    # Featured credits are cut out of three texts in one step.
+    cut = {}
+    for text in ("_plain", "_title", "_credit"):
+        cut[f"{text}_cut"] = F.trim(F.regexp_replace(text, fixed.FEATURED, ""))
+        if text != "_title":
+            cut[f"{text}_in"] = F.regexp_extract_all(text, F.lit(fixed.FEATURED), F.lit(1))
+            cut[f"{text}_bare"] = F.regexp_extract_all(text, F.lit(fixed.FEATURED), F.lit(2))
+    rows = bind(rows, **cut)
+
+    def found(text: str) -> Column:
+        both = F.zip_with(f"{text}_in", f"{text}_bare", lambda a, b: F.when(a != "", a).otherwise(b))
+        return F.when(F.col(f"{text}_cut") != "", both).otherwise(F.array().cast("array<string>"))
+
     rows = bind(
         rows,
-        _plain=F.regexp_replace("_title", fixed.ORIGINAL_SUFFIX, ""),
-        _credit=without_artist_tags(F.col("_artist")),
-    )
-    rows = bind(rows, _plain=_rest(F.col("_title"), F.col("_plain")))
-    rows = _cut_features(rows, "_plain", "_sung", "_featured")
-    rows = _cut_features(rows, "_title", "_sung_title", "_ignored")
-    rows = _cut_features(rows, "_credit", "_credit_rest", "_inline")
-    rows = bind(rows, _plain_v=bracketed("_plain"), _sung_v=bracketed("_sung"))
-    parts = F.concat(
-        F.array("_credit_rest"), "_inline", F.transform("_featured", without_artist_tags)
+        _sung=_rest(F.col("_plain"), F.col("_plain_cut")),
+        _sung_title=_rest(F.col("_title"), F.col("_title_cut")),
+        _credit_parts=F.concat(
+            F.array(_rest(F.col("_credit"), F.col("_credit_cut"))),
+            found("_credit"),
+            F.transform(found("_plain"), without_artist_tags),
+        ),
     )
     rows = bind(
         rows,
+        _plain_v=bracketed("_plain"),
+        _sung_v=bracketed("_sung"),
         _plain_m=without_inner_tag(F.col("_plain")),
-        _plain_vm=without_inner_tag(F.col("_plain_v")),
+        _plain_vm=without_inner_tag(bracketed("_plain")),
         _sung_m=without_inner_tag(F.col("_sung")),
-        _sung_vm=without_inner_tag(F.col("_sung_v")),
+        _sung_vm=without_inner_tag(bracketed("_sung")),
         _base=without_inner_tag(base_title("_title")),
         _sung_base=without_inner_tag(base_title("_sung_title")),
-        _names=F.flatten(F.transform(parts, lambda p: F.split(p, fixed.CREDIT_SEPARATOR))),
+        _names=F.flatten(F.transform("_credit_parts", lambda p: F.split(p, fixed.CREDIT_SEPARATOR))),
     )
     rows = rows.select(
         *df.columns, compat_fold_all(F.concat(F.array(*PIECES), "_names")).alias("_folded")
@@ -131,19 +131,20 @@ def with_forms(
     def pick(name: str) -> Column:
         return F.when(bare, at[name[0]]).otherwise(at[name[1]])
 
-    found = F.slice("_words", len(PIECES) + 1, F.size("_words"))
+    credited = F.array_remove(
+        F.array_sort(F.array_distinct(F.slice("_words", len(PIECES) + 1, F.size("_words")))), ""
+    )
     rows = bind(
         rows,
-        _found=F.array_remove(F.array_sort(F.array_distinct(found)), ""),
+        _found=credited,
         _mix=without_and(pick(("_plain_m", "_plain_vm"))),
         title_form=without_and(pick(("_sung_m", "_sung_vm"))),
     )
-    rows = bind(
-        rows, names=F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(at["_artist"]))
-    )
-    credit = F.array_join("names", "\u001f")
+    names = F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(at["_artist"]))
+    credit = F.array_join(names, "\u001f")
     return bind(
         rows,
+        names=names,
         identity_key=key_join([at["_artist"], at["_title"], at["_version"]]),
         label_key=key_join([at["_artist"], F.col("_mix")]),
         label_key_exact=key_join([at["_artist"], pick(("_plain", "_plain_v"))]),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_forms
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import timeline as tl
 from .scan import LIGHT_ROWS, Hot, Scan, hot_groups, scan
 
@@ -33,7 +33,7 @@ def with_songs(rows: DataFrame) -> DataFrame:
     """Rows plus ``core`` (the bare title in matching form) and ``names`` (credited names)."""
     label = ["artist", "title", "version"]
     filled = rows.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in label})
-    known = with_forms(filled.select(*label).distinct()).select(
+    known = with_forms(spread(filled.select(*label).distinct())).select(
         *label, F.element_at(F.split("credit_base_key", r"\|"), -1).alias("core"), "names"
     )
     return filled.join(known, label, "left")

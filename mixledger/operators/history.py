@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_forms
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .scan import LIGHT_ROWS, Hot, Scan, scan
 
 LIST_SIZE = 1000
@@ -21,7 +21,7 @@ def with_song_keys(records: DataFrame) -> DataFrame:
     rows = records.withColumns(
         {"_a": F.coalesce("artist", F.lit("")), "_t": F.coalesce("title", F.lit("")), "_v": F.lit("")}
     )
-    known = with_forms(rows.select("_a", "_t", "_v").distinct(), "_a", "_t", "_v").select(
+    known = with_forms(spread(rows.select("_a", "_t", "_v").distinct()), "_a", "_t", "_v").select(
         "_a", "_t", "label_key", "credit_key"
     )
     isrc = F.nullif(F.replace("isrc", F.lit("-"), F.lit("")), F.lit("")) if "isrc" in records.columns else F.lit(None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import version_markers, with_forms
 from ..functions.urls import evidence_url
+from ..session import spread
 from .tracklists import file_name_labels
 
 # Error patterns in the order they are tried, with code and whether a retry helps.
@@ -41,7 +42,7 @@ def ingest(inventory: DataFrame, recordings: DataFrame, revisions: DataFrame) ->
         }
     )
     label = ["artist", "title", "version"]
-    known = with_forms(rows.select(*label).distinct()).select(*label, F.col("identity_key").alias("_identity"))
+    known = with_forms(spread(rows.select(*label).distinct())).select(*label, F.col("identity_key").alias("_identity"))
     rows = rows.join(known, label, "left").withColumn(
         "identity_key", F.when(F.col("_tagged"), F.col("_identity")).otherwise(F.concat(F.lit("provisional:"), "sha256"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.labels import label, with_forms
+from ..session import spread
 from .matching import LABEL
 from .scan import LIGHT_ROWS, Scan, scan
 
@@ -16,7 +17,7 @@ POSITIONS = 100_000
 def with_label_forms(items: DataFrame, *forms: str) -> DataFrame:
     """Items plus comparison forms, worked out once per distinct label."""
     rows = items.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in LABEL})
-    known = with_forms(rows.select(*LABEL).distinct()).select(*LABEL, *forms)
+    known = with_forms(spread(rows.select(*LABEL).distinct())).select(*LABEL, *forms)
     return rows.join(known, LABEL, "left").select(*items.columns, *forms)
 
 

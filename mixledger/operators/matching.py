@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.steps import bind
+from ..session import cut_lineage, spread
 from ..functions.labels import label, similar_credits, stems, with_forms
 
 LABEL = ["artist", "title", "version"]
@@ -111,8 +112,9 @@ def resolve_labels(
     ``catalog`` has the columns of ``availability``. Counts stay exact: a label with more than
     ``max_candidates`` matches is marked truncated, which makes it ambiguous.
     """
-    asked = with_forms(labels.select(*LABEL).distinct())
-    held = with_forms(catalog)
+    # Both tables of forms are read twice below, so each is written once.
+    asked = cut_lineage(with_forms(spread(labels.select(*LABEL).distinct())))
+    held = cut_lineage(with_forms(spread(catalog)))
     held = held.withColumn("provisional", F.col("catalog_key").startswith("provisional:"))
     base_keys = {"a": "song_key", "b": "base_key", "d": "credit_base_key"}
     exact_keys = {"i": "identity_key", "l": "label_key", "c": "credit_key"}
@@ -128,7 +130,7 @@ def resolve_labels(
         "base_key",
         "provisional",
     )
-    spread = held.select(
+    keyed = held.select(
         row.alias("row"),
         F.explode(
             F.when(F.col("provisional"), _tagged(p="label_key")).otherwise(
@@ -137,7 +139,7 @@ def resolve_labels(
         ).alias("_key"),
     )
     filed = _top(
-        spread,
+        keyed,
         ["_key"],
         ["row.recording_id", "row.revision_id"],
         max_candidates + 1 + max_related,

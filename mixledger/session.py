@@ -50,3 +50,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over every core, for work that costs far more per row than moving the row does.
+
+    Few bytes of distinct labels would otherwise be coalesced into one or two tasks.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

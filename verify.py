@@ -9,6 +9,7 @@ import time
 import traceback
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from mixledger.plans import all_queries, all_sql
 from mixledger.session import local_session
@@ -41,7 +42,12 @@ def main() -> int:
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     queries, sql = all_queries(), all_sql()
     names = sys.argv[1:] or list(queries)
-    spark = local_session("verify")
+    if os.environ.get("PLAIN"):
+        # A session as a caller may bring it, without the settings of ``local_session``.
+        builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        spark = builder.config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = local_session("verify")
     db = duckdb.connect()
     for table in TABLES:
         db.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
