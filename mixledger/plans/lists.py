@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
 from ..operators import lists, organize
+from ..functions.labels import key_order
 from ..operators.matching import check_lists as check
+from ..operators.scan import Scan, scan
 from . import views
 from .registry import query
 
@@ -265,11 +267,10 @@ FILTERS = dict(
   from r where len(reasons) = 0""")
 def organize_tracks(spark: SparkSession, folder: str) -> DataFrame:
     selected, _, _ = organize.organize(tracks(spark, folder), order_by="key", **FILTERS)
-    first = organize.order_columns("key")
-    # The report numbers the selection; a crate writer sorts by the same columns instead.
-    from pyspark.sql import Window
-
-    return selected.select("recording_id", F.row_number().over(Window.orderBy(*first)).alias("place"))
+    # Numbered by scan, not by one window over everything: a large selection is cut by key.
+    rows = selected.select("recording_id", key_order("key.value").alias("_key"), F.lit(0).alias("_all"))
+    placed = scan(rows, ["_all"], ["_key", "recording_id"], F.col("_key"), [Scan("place", "number")])
+    return placed.select("recording_id", "place")
 
 
 @query(f"""{JUDGED} select reason, count(*) as n from (select unnest(reasons) as reason from r) group by 1""")
@@ -312,8 +313,6 @@ def submission_audit(spark: SparkSession, folder: str) -> DataFrame:
     count(*) filter (where raw >= 10) as fields,
     round(sum(raw) filter (where raw >= 10), 2) as total from last l group by user_id""")
 def annotation_state(spark: SparkSession, folder: str) -> DataFrame:
-    from ..operators.scan import Scan, scan
-
     events = views.table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
     numbered = scan(
         events, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), [Scan("n", "number")]

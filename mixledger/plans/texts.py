@@ -74,12 +74,25 @@ def comment_hints(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.rank_hints(mentions)
 
 
+PAGE_LINES = 500
+PAGES = """numbered as (select l_orderkey, p_brand || ' - ' || p_name as text, row_number() over (partition by l_orderkey
+    order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as p
+  from lineitem join part on p_partkey = l_partkey),
+ songs as (select *, count(*) over (partition by set_id) as n from (
+  select l_orderkey, l_orderkey * 1000000 + p // 500 as set_id, p % 500 + 1 as position, text from numbered))"""
+
+
 def set_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as set pages: the lines as chapters and as a description with promotion between."""
+    """Orders as set pages of at most 500 lines: the lines as chapters and as a description with
+    promotion between. A longer order becomes several pages."""
     lines = views.numbered_lines(spark, folder)
+    page = F.floor((F.col("position") - 1) / PAGE_LINES)
+    lines = lines.withColumns(
+        {"set_id": F.col("list_id") * 1_000_000 + page, "position": (F.col("position") - 1) % PAGE_LINES + 1}
+    )
     text = F.concat_ws(" - ", "artist", "title")
     start = (F.col("position") - 1) * 200.0
-    rows = lines.groupBy(F.col("list_id").alias("set_id")).agg(
+    rows = lines.groupBy("set_id").agg(
         F.array_sort(F.collect_list(F.struct("position", text.alias("text"), start.alias("start")))).alias("_l")
     )
     chapters = F.transform("_l", lambda x: F.struct(x["start"].alias("start_time"), x["text"].alias("title")))
@@ -92,14 +105,12 @@ def set_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.array_join(F.transform("_l", lambda x: x["text"]), "\n"),
             F.lit("\nRecorded live at the park\n#techno"),
         ).alias("description"),
-        F.when(F.col("set_id") % 2 == 0, chapters).otherwise(F.slice(chapters, 1, 1)).alias("chapters"),
+        F.when(F.floor(F.col("set_id") / 1_000_000) % 2 == 0, chapters).otherwise(F.slice(chapters, 1, 1)).alias("chapters"),
     )
 
 
-@query("""with songs as (select l_orderkey as set_id, p_brand || ' - ' || p_name as text,
-    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as position,
-    count(*) over (partition by l_orderkey) as n from lineitem join part on p_partkey = l_partkey)
-  select set_id, case when set_id % 2 = 0 and n >= 3 then 'chapters' else 'description' end as source, text from songs""")
+@query(f"""with {PAGES} select set_id, case when l_orderkey % 2 = 0 and n >= 3 then 'chapters' else 'description' end as source,
+  text from songs""")
 def published_tracklists(spark: SparkSession, folder: str) -> DataFrame:
     rows = pages.published_tracklist(set_pages(spark, folder))
     return rows.select("set_id", "source", F.regexp_replace("line", r"^\[[\d:]+\] ", "").alias("text"))
@@ -124,16 +135,14 @@ def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""with songs as (select l_orderkey as pageid, p_brand || ' - ' || p_name as label,
-    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as position,
-    count(*) over (partition by l_orderkey) as n from lineitem join part on p_partkey = l_partkey where l_orderkey % 2 = 0)
-  select pageid, position, floor((position - 1) * 200 / 60) * 60.0 as seconds, label from songs where n > 1""")
+@query(f"""with {PAGES} select set_id as pageid, position, floor((position - 1) * 200 / 60) * 60.0 as seconds, text as label
+  from songs where n > 1 and l_orderkey % 2 = 0""")
 def parse_wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     return wiki.parse_wiki_pages(wiki_pages(spark, folder))[1]
 
 
-@query("""with n as (select l_orderkey as k, count(*) as n from lineitem where l_orderkey % 2 = 0 group by 1)
-  select k as set_id, k as pageid, case when k % 4 = 0 then 'link' else 'title' end as "by", 1.0 as score from n where n > 1""")
+@query(f"""with {PAGES} select distinct set_id, set_id as pageid, case when set_id % 8 = 0 then 'link' else 'title' end as "by",
+  1.0 as score from songs where n > 1 and l_orderkey % 2 = 0""")
 def match_pages(spark: SparkSession, folder: str) -> DataFrame:
     facts, _ = wiki.parse_wiki_pages(wiki_pages(spark, folder))
     uploads = facts.select(
@@ -141,6 +150,6 @@ def match_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Number"), "pageid", F.lit(" live at Park Stage "), "pageid", F.lit(" 30.08.2019")).alias("title"),
         F.lit("Some Channel").alias("uploader"),
         F.lit(3700.0).alias("duration"),
-        F.when(F.col("pageid") % 4 == 0, F.concat(F.lit("http://m.example.com/set/"), "pageid", F.lit("/?utm=1"))).alias("url"),
+        F.when(F.col("pageid") % 8 == 0, F.concat(F.lit("http://m.example.com/set/"), "pageid", F.lit("/?utm=1"))).alias("url"),
     )
     return wiki.match_pages(uploads, facts)

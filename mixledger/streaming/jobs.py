@@ -137,18 +137,16 @@ def _failing(limit: int):
             streak = streak + 1 if row.error is not None and row.error == row.error else 0
             worst = max(worst, streak)
         state.update((int(streak),))
-        yield pd.DataFrame({"recognizer": [key[0]], "streak": [int(streak)], "failing": [worst >= limit]})
+        yield pd.DataFrame({"set_id": [key[0]], "recognizer": [key[1]], "streak": [int(streak)], "failing": [worst >= limit]})
 
     return step
 
 
 def failing_services(probes: DataFrame, *, limit: int = FAILING_IN_A_ROW) -> DataFrame:
-    """Per recognizer the failures in a row so far, and whether ``limit`` was reached.
-
-    A whole recognizer is one ordered stream of windows of a listen in progress; state is a counter.
-    """
-    return probes.groupBy("recognizer").applyInPandasWithState(
-        _failing(limit), "recognizer string, streak long, failing boolean", "streak long", "update", GroupStateTimeout.NoTimeout
+    """Per listen (a set and a recognizer) the failures in a row so far, and whether ``limit`` was
+    reached. State is one counter per listen."""
+    return probes.groupBy("set_id", "recognizer").applyInPandasWithState(
+        _failing(limit), "set_id string, recognizer string, streak long, failing boolean", "streak long", "update", GroupStateTimeout.NoTimeout
     )
 
 
