@@ -103,5 +103,9 @@ def location_key(uri: Column | str) -> Column:
     local = u.rlike(r"(?i)^file://(?:localhost)?/[^?#]*$") & ~u.rlike(r"%(?![0-9A-Fa-f]{2})")
     # A plus sign is itself in a path; only percent escapes are decoded.
     raw = F.replace(F.regexp_extract(u, r"(?i)^file://(?:localhost)?(/.*)$", 1), F.lit("+"), F.lit("%2B"))
-    path = F.try_url_decode(F.when(local, raw))
-    return path_key(F.when(path.rlike(r"^/[A-Za-z]:/"), F.substring(path, 2, 4096)).otherwise(path))
+    # Each step is worked out once: a lambda's argument is a value, not a repeated expression.
+    paths = F.array(F.try_url_decode(F.when(local, raw)))
+    paths = F.transform(
+        paths, lambda p: F.when(p.rlike(r"^/[A-Za-z]:/"), F.substring(p, 2, 4096)).otherwise(p)
+    )
+    return F.get(F.transform(paths, path_key), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.steps import bind
 from ..functions.urls import location_key, path_key
 from .lists import ordered_fingerprint
 
@@ -121,7 +122,7 @@ def device_check(
 
 def path_join(native: DataFrame, catalog_paths: DataFrame, *, location: str = "Location") -> DataFrame:
     """Native rows matched to catalog files by exact local path; several recordings = ambiguous."""
-    left = native.withColumn("path_key", location_key(location))
+    left = bind(native, path_key=location_key(location))
     right = catalog_paths.select(path_key("path").alias("path_key"), "recording_id", "revision_id").where(
         F.col("path_key").isNotNull()
     )
@@ -172,9 +173,7 @@ def native_diff(
     tracks[recording_id, path], playlists[playlist, position, recording_id],
     xml_tracks[TrackID, Location], xml_entries[playlist, node, key_type, position, key].
     """
-    native = xml_tracks.select(
-        F.col("TrackID").alias("track_id"), location_key("Location").alias("path_key")
-    )
+    native = bind(xml_tracks, track_id=F.col("TrackID"), path_key=location_key("Location")).select("track_id", "path_key")
     by_id = native.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(
         F.count(F.lit(1)).alias("id_n"), F.min("path_key").alias("path_key")
     )
@@ -187,15 +186,16 @@ def native_diff(
         .where(F.col("_p") == F.col("path_key"))
         .select("path_key", "track_id")
     )
-    wanted = tracks.withColumn("path_key", path_key("path"))
+    wanted = bind(tracks, path_key=path_key("path"))
     state = F.when(F.col("track_id").isNotNull(), "matched").when(F.col("path_n").isNull(), "missing").otherwise("ambiguous")
     track_report = (
         wanted.join(single, "path_key", "left")
         .join(by_path.select("path_key", "path_n"), "path_key", "left")
         .select("recording_id", "path", state.alias("state"), "track_id")
     )
-    refs = xml_entries.withColumn(
-        "_ref", F.when(F.col("key_type") == "0", F.concat(F.lit("i:"), "key")).otherwise(F.concat(F.lit("p:"), location_key("key")))
+    by_key = F.concat(F.lit("i:"), "key")
+    refs = bind(
+        xml_entries, _ref=F.when(F.col("key_type") == "0", by_key).otherwise(F.concat(F.lit("p:"), location_key("key")))
     )
     answers = single.select(F.concat(F.lit("i:"), "track_id").alias("_ref"), "path_key").unionByName(
         single.select(F.concat(F.lit("p:"), "path_key").alias("_ref"), "path_key")

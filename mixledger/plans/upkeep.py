@@ -160,3 +160,56 @@ def library_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary(rows, notes, views.table(spark, folder, "customer"), views.table(spark, folder, "orders"), jobs)
 
 
+
+
+@query("""select p_partkey::varchar as recording_id, case when p_size % 4 = 0 then 'unavailable' when p_size % 4 = 1 then 'unchanged'
+  when p_size % 4 = 2 then 'tags_only' else 'changed' end as result from part""")
+def verify_working_files(spark: SparkSession, folder: str) -> DataFrame:
+    key, turn = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    part = views.table(spark, folder, "part")
+    assets = part.select(
+        key.alias("recording_id"), key.alias("path"), F.sha2(key, 256).alias("sha256"), F.col("p_name").alias("audio_sha256"), F.lit("pcm").alias("audio_format")
+    )
+    now = part.where(turn != 0).select(
+        key.alias("path"),
+        F.when(turn == 1, F.sha2(key, 256)).otherwise("other").alias("sha256"),
+        F.when(turn == 3, "other").otherwise(F.col("p_name")).alias("audio_sha256"),
+        F.lit("pcm").alias("audio_format"),
+    )
+    return verify.verify_working_files(assets, now).select("recording_id", "result")
+
+
+@query("""with p as (select o_custkey as device_id, o_orderstatus as name, o_orderkey as playlist_id, floor(o_totalprice / 50000) as tracks from orders)
+  select device_id, name, arg_max(playlist_id, (tracks, -playlist_id)) as playlist_id, count(*) as same_name_playlists from p group by 1, 2""")
+def named_playlists(spark: SparkSession, folder: str) -> DataFrame:
+    rows = views.table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("device_id"),
+        F.col("o_orderstatus").alias("name"),
+        F.col("o_orderkey").alias("playlist_id"),
+        F.floor(F.col("o_totalprice") / 50000).alias("tracks"),
+    )
+    return verify.named_playlists(rows)
+
+
+@query("""with n as (select l_orderkey as playlist, row_number() over (partition by l_orderkey
+    order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as position, l_partkey from lineitem),
+  w as (select playlist, count(*) as n, count(distinct l_partkey) as d from n group by 1)
+  select playlist, d = n and playlist % 3 <> 2 as membership_match, d = n and playlist % 3 <> 2 and (playlist % 3 = 0 or n = 1) as order_match from w""")
+def native_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as native playlists: a third as meant, a third in reverse, a third missing."""
+    part = views.table(spark, folder, "part")
+    path = F.concat(F.lit("/music/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(" x.mp3"))
+    id = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    tracks = part.select(id.alias("recording_id"), path.alias("path"))
+    xml = part.select(id.alias("TrackID"), writers.file_uri(path).alias("Location"))
+    lines = views.numbered_lines(spark, folder).select(F.col("list_id").alias("playlist"), "position", "recording_id")
+    last = lines.groupBy("playlist").agg(F.max("position").alias("_last"))
+    shown = lines.join(last, "playlist").where(F.col("playlist") % 3 != 2)
+    entries = shown.select(
+        "playlist",
+        F.lit("0").alias("node"),
+        F.lit("0").alias("key_type"),
+        F.when(F.col("playlist") % 3 == 1, F.col("_last") + 1 - F.col("position")).otherwise(F.col("position")).alias("position"),
+        F.col("recording_id").alias("key"),
+    )
+    return verify.native_diff(tracks, lines, xml, entries)[1].select("playlist", "membership_match", "order_match")
