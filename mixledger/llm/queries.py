@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_decontamination
+from .mixing import op2_mixing
+from .sharding import op3_sharding
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
