@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontamination
+from .huffman import op9_huffman
 from .mixing import op2_mixing
 from .sharding import op3_sharding
 from .simhash import op7_simhash
+from .winnow import op10_winnowing
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_huffman": op9_huffman,
+    "op10_winnowing": op10_winnowing,
 }
 
 SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
