@@ -67,7 +67,9 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
         swap = F.xxhash64(key, r, F.greatest(x, partner)).bitwiseAND(F.lit(1)) == 1
         return F.when(swap, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
+    # Never null: else a null filter that the optimizer infers would work the rounds out again.
+    return F.coalesce(found, F.lit(0).cast("long"))
 
 
 def pack(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
