@@ -5,13 +5,17 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontamination
 from .huffman import op9_huffman
 from .mixing import op2_mixing
+from .pii import op1_pii
 from .sharding import op3_sharding
 from .simhash import op7_simhash
+from .toxicity import op6_toxicity
 from .winnow import op10_winnowing
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_huffman": op9_huffman,

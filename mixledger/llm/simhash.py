@@ -40,18 +40,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; null and blank texts have fingerprint 0. No shuffle."""
+def fingerprints(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and fp for every row; null and blank texts have fingerprint 0. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"]
+                [*batch.columns[: len(keep)], pa.array(fps, pa.int64())], names=[*keep, "fp"]
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, text_col).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def _segment(fp: Column, quarter: int) -> Column:
@@ -81,22 +81,26 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     asked = []
     for q in quarters:
         key = _segment(fp, q)
-        above = [F.when(F.getbit(fp, F.lit(i)) == 1, key.bitwiseXOR(F.lit((1 << i) - (2**64 if i == 63 else 0)))) for i in range((q + 1) * QUARTER_BITS, 64)]
-        asked.append(F.array(key, *above))
+        above = range((q + 1) * QUARTER_BITS, 64)
+        flips = [key.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in above]
+        cleared = [F.when(F.getbit(fp, F.lit(i)) == 1, flip) for i, flip in zip(above, flips)]
+        asked.append(F.array(key, *cleared))
     probes = fps.select(F.explode(F.array_compact(F.concat(*asked))).alias("key"), fp.alias("a"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     met = probes.join(tables, "key").where((F.col("a") != F.col("b")) & (apart <= MAX_DISTANCE))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): component is the least id linked through near fingerprints.
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, columns to keep, fp, component): component is the least id linked by near fingerprints.
 
     Equal fingerprints are one node, so a group of copies of any size is one row of the search.
     Rows with a null id keep a row; they count as members, but their component is null only if
     no member has an id. An empty table gives an empty result; extra columns are not read.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col))
+    rows = cut_lineage(fingerprints(docs, id_col, *keep, text_col=text_col))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(near_pairs(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -104,26 +108,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     named = placed.join(least, "root").select("fp", "component")
-    return rows.join(named, "fp").select(id_col, "fp", "component")
+    return rows.join(named, "fp").select(id_col, *keep, "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the least id.
 
     Of rows that repeat that id, the one with the least text hash stays. Rows without an id are
-    kept, as nothing names them.
+    kept, as nothing names them. Texts move once, to meet the keys that stay.
     """
-    found = near_components(docs, id_col, text_col)
-    firsts = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    kept = docs.join(firsts, id_col, "left_semi")
-    # Repeated ids: rows that tie on id are settled by a combined minimum, not in one group.
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    twice = kept.groupBy(id_col).agg(F.count("*").alias("_n"), F.min(mark).alias("_m"))
-    twice = twice.where("_n > 1")
-    once = kept.join(twice.select(id_col), id_col, "left_anti")
-    again = kept.join(twice, id_col).where(mark == F.col("_m")).drop("_n", "_m")
-    again = again.dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    keyed = docs.withColumn("_h", F.xxhash64(text_col))
+    found = near_components(keyed, id_col, text_col, ("_h",))
+    firsts = found.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.min("_h").alias("_h"))
+    named = keyed.join(firsts, [id_col, "_h"]).dropDuplicates([id_col, "_h"])
+    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
