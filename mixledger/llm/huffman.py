@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,101 +24,133 @@ BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints of a block.
 CHECKPOINT_IDS = 128
 #: Pieces of text whose ids a worker remembers, and bytes of text that it takes at once.
-CACHE_PIECES = 500_000
-BATCH_BYTES = 4 << 20
+CACHE_PIECES = 400_000
+BATCH_BYTES = 1 << 20
 
 # ------------------------------------------------------------------------------- tokenization
 
-#: A space between two of these always starts a new piece of the tokenizer.
-_PLAIN = "!-~À-ɏ"
-_ODD_SPACE = re.compile(rf"^ | $|(?<![{_PLAIN}]) | (?![{_PLAIN}])")
-_INNER_SPACE = re.compile(rf"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
+#: A single space between characters that are not white space starts a new piece of the tokenizer.
+_ODD_SPACE = re.compile(r"\s\s")
+_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
 
 
 class PieceEncoder:
     """Ids of texts by the tokenizers library, asked once for each piece that texts share.
 
-    No token of a byte-level vocabulary crosses a piece border, and a single space between plain
-    characters is always such a border. So a text is split there, every distinct piece is encoded
-    by the library once, and its ids are looked up after that. A piece of letters alone is one
-    word of the library's model and skips its splitting. The memory is bounded: when it is full,
-    further pieces are encoded each time they come.
+    No token of a byte-level vocabulary crosses a piece border. A single space between other
+    characters is always such a border, and so is the end of a run of letters. So a text is split at
+    spaces, every distinct piece is encoded by the library once, as the letters it begins with and
+    the rest, and its ids are looked up after that. A run of letters is one word of the library's
+    model and skips its splitting. The memory is bounded: when it is full, the
+    pieces it does not hold are encoded each time they come.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = {b: c for b, c in enumerate(_byte_letters())}
-        self.place: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.reset()
-
-    def reset(self) -> None:
-        self.place.clear()
+        self.letters = _byte_letters()
+        self.limit = limit
+        self.after: dict[str, int] = {}  # pieces that follow a space, without it
+        self.plain: dict[str, int] = {}  # pieces that do not
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
-        self.known = 0
-
-    def _add(self, ids: list[int]) -> int:
-        while self.used + len(ids) > len(self.ids):
+        self.used = self.known = 0
+
+    def _word(self, text: str) -> list[int]:
+        written = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(written)]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(texts), 1000):  # what the library returns is far larger than the ids
+            part = self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
+            out += [e.ids for e in part]
+        return out
+
+    def _learn(self, pieces: list[str], space: str) -> list[list[int]]:
+        """Ids of pieces that follow ``space``."""
+        heads: list[list[int] | None] = []
+        rests: dict[str, list[int]] = {}
+        cut: list[tuple[int, str]] = []
+        match = _LETTERS.match
+        for piece in pieces:
+            found = match(piece)
+            size = found.end() if found and found[0].isalpha() else 0
+            heads.append(self._word(space + piece[:size]) if size else None)
+            rest = piece[size:] if size else space + piece
+            cut.append((size, rest))
+            if rest:
+                rests.setdefault(rest, [])
+        rests = dict(zip(rests, self._library(list(rests))))
+        return [(h or []) + (rests[rest] if rest else []) for h, (_, rest) in zip(heads, cut)]
+
+    def _add(self, into: dict[str, int], pieces: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if self.known == len(self.first):
+        while self.known + len(ids) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.first[self.known], self.count[self.known] = self.used, len(ids)
-        self.used += len(ids)
-        self.known += 1
-        return self.known - 1
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces as they stand in a text: all but the first of a text begin with a space."""
-        rest = []
-        for piece in pieces:
-            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-                word = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-                self.place[piece] = self._add([t.id for t in self.model.tokenize(word)])
-            else:
-                rest.append(piece)
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.place[piece] = self._add(found.ids)
-
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ") if not _ODD_SPACE.search(text) else _INNER_SPACE.split(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        here = slice(self.known, self.known + len(ids))
+        self.first[here], self.count[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        into.update(zip(pieces, range(self.known, self.known + len(ids))))
+        self.used += total
+        self.known += len(ids)
+
+    def _look_up(self, into: dict[str, int], pieces: list[str], space: str) -> tuple[np.ndarray, list[str]]:
+        where = np.fromiter(map(into.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(where < 0).tolist()
+        new = list(dict.fromkeys(pieces[i] for i in missing))
+        if new:
+            self._add(into, new, self._learn(new, space))
+            where[missing] = [into[pieces[i]] for i in missing]
+        return where, new
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        flat = [p for parts in split for p in parts]
-        get = self.place.get
-        at = list(map(get, flat))
-        new = list(dict.fromkeys(p for p, i in zip(flat, at) if i is None))
-        if new:
-            if self.known + len(new) > CACHE_PIECES:
-                self.reset()
-                new = list(dict.fromkeys(flat))
-            self._learn(new)
-            at = list(map(self.place.__getitem__, flat))
-        where = np.array(at, np.int64)
+        start, used = self.known, self.used
+        firsts, others, sizes = [], [], []
+        for text in texts:
+            if not text:
+                sizes.append(0)
+                continue
+            odd = _ODD_SPACE.search(text) or text[0].isspace() or text[-1].isspace()
+            parts = _INNER_SPACE.split(text) if odd else text.split(" ")
+            sizes.append(len(parts))
+            firsts.append(parts[0])
+            others += parts[1:]
+        one, new_one = self._look_up(self.plain, firsts, "")
+        more, new_more = self._look_up(self.after, others, " ")
+        size = np.array(sizes, np.int64)
+        ends = np.cumsum(size)
+        where = np.empty(len(one) + len(more), np.int64)
+        is_first = np.zeros(len(where), bool)
+        is_first[(ends - size)[size > 0]] = True
+        where[is_first], where[~is_first] = one, more
         count = self.count[where]
         total = int(count.sum())
         before = np.cumsum(count) - count
         ids = self.ids[np.repeat(self.first[where] - before, count) + np.arange(total)]
-        ends = np.cumsum([0, *map(len, split)])
         sums = np.concatenate([[0], np.cumsum(count)])
-        return ids, np.diff(sums[ends])
+        if self.known > self.limit:  # forget what this call has learned
+            for into, new in ((self.plain, new_one), (self.after, new_more)):
+                for piece in new:
+                    del into[piece]
+            self.known, self.used = start, used
+        return ids, np.diff(sums[np.concatenate([[0], ends])])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -13,24 +13,28 @@ from mixledger.llm import huffman as hf
 def texts():
     rnd = random.Random(8)
     bits = ["the", "Der", "étrechê", "it's", "we'll", "9", "2024", "a,b", "###", "\n", "\t", "  ", "   x", " ", " ", "日本", "😀", "<|endoftext|>", "-", "\x1c", "a b", "ñ.\nEr", "\r\n"]
-    out = [None, "", " ", "  ", " a", "a ", "a  b", "x" * 3000, "long words " * 3000]
+    out = [None, "", " ", "  ", " a", "a ", "a  b", "x" * 3000, "½x²y x½ a²", "é\u0301a x\u0301 \u0301b", "Ünder_score __a a_1", "x\u00a0 y \u2003z", "long words " * 3000]
     for _ in range(120):
         out.append("".join(rnd.choice(bits) + rnd.choice([" ", "", " ", " ", "\n"]) for _ in range(rnd.choice([2, 20, 200]))))
     return out
 
 
-def test_pieces_give_the_ids_of_the_library():
+def check_ids(limit):
     plain = Tokenizer.from_file(public_tokenizers.path(hf.TOKENIZER))
-    enc = hf.PieceEncoder(public_tokenizers.path(hf.TOKENIZER))
+    enc = hf.PieceEncoder(public_tokenizers.path(hf.TOKENIZER), limit)
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts()]
     for _ in range(2):  # learning, then from memory
         ids, counts = enc.encode([t or "" for t in texts()])
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    return enc
+
+
+def test_pieces_give_the_ids_of_the_library():
+    assert check_ids(hf.CACHE_PIECES).known > 100
 
 
-def test_full_memory_starts_again(monkeypatch):
-    monkeypatch.setattr(hf, "CACHE_PIECES", 50)
-    test_pieces_give_the_ids_of_the_library()
+def test_memory_is_bounded():
+    assert check_ids(50).known <= 50
 
 
 def huffman_cost(counts):
