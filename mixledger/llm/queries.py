@@ -6,6 +6,7 @@ from .decontaminate import OP8_SQL, op8_decontamination
 from .huffman import op9_huffman
 from .mixing import op2_mixing
 from .pii import op1_pii
+from .repeats import op4_repeats
 from .sharding import op3_sharding
 from .simhash import op7_simhash
 from .toxicity import op6_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_repeats": op4_repeats,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
