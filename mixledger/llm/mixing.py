@@ -21,7 +21,7 @@ SHARD_BLOCKS = 1024
 #: Rounds of the index permutation.
 ROUNDS = 24
 #: Documents that one task of the packing ranks on average.
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 500
 SEED = "mix"
 
 
