@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontamination
 from .huffman import op9_huffman
+from .maxent import op5_maxent
 from .mixing import op2_mixing
 from .pii import op1_pii
 from .repeats import op4_repeats
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_repeats": op4_repeats,
+    "op5_maxent": op5_maxent,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
