@@ -154,82 +154,102 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 class Suffixes:
-    """Suffix order of a byte array up to ``limit`` bytes, with the ranks of every doubling kept.
+    """Suffixes of a byte array by their first ``limit`` bytes: equal ranks for equal prefixes.
 
-    ``stops`` gives for each position the end of its own string: no suffix reads beyond it.
+    ``stops`` gives for each position the end of its own string: no suffix reads beyond it. The
+    first ranks come from eight packed bytes; each doubling ranks pairs of ranks.
     """
 
-    def __init__(self, data: np.ndarray, stops: np.ndarray, limit: int) -> None:
+    def __init__(self, data: np.ndarray, stops: np.ndarray, limit: int, keep: bool = False) -> None:
         n = len(data)
-        self.limit, self.stops, at = limit, stops, np.arange(n)
-        rank = data.astype(np.int64) + 1
-        self.widths, self.ranks = [1], [np.append(rank, 0)]
-        width = 1
+        self.limit, self.stops, self.n = limit, stops, n
+        at = np.arange(n)
+        packed = np.zeros(n, np.uint64)
+        for i in range(8):
+            ahead = np.minimum(at + i, n - 1)
+            byte = np.where(at + i < stops, data[ahead], 0).astype(np.uint64)
+            packed = packed << np.uint64(8) | byte
+        self.packed = packed
+        first = packed if limit >= 8 else packed >> np.uint64(8 * (8 - limit))
+        rank = self._ranked(first)
+        width = min(8, limit)
+        self.levels = [(width, rank)]
         while width < limit:
-            step = min(width, limit - width)
+            step = min(width, limit - width)  # the last step may overlap
             ahead = np.minimum(at + step, n)
-            after = np.where(ahead < stops, self.ranks[-1][ahead], 0)
-            if step == width:
-                pair = self.ranks[-1][:n] * (n + 258) + after
-                width += step
-            else:  # the last step overlaps: ranks of the same width, nearer together
-                pair = self.ranks[-1][:n] * (n + 258) + after
-                width = limit
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1
-            self.widths.append(width)
-            self.ranks.append(np.append(rank, 0))
-
-    def order(self, place: np.ndarray) -> np.ndarray:
-        """Positions in suffix order; suffixes that agree up to the limit are ordered by ``place``."""
-        return np.lexsort((place, self.ranks[-1][:-1]))
+            after = np.where(ahead < stops, rank[ahead], 0)
+            rank = self._ranked(rank[:n] * (n + 1) + after)
+            width += step
+            if not keep:
+                self.levels.clear()
+            self.levels.append((width, rank))
+        self.rank = rank[:n]
+
+    @staticmethod
+    def _ranked(values: np.ndarray) -> np.ndarray:
+        """Dense ranks from 1, and a 0 behind them for what lies beyond the end."""
+        order = np.argsort(values)
+        ranked = values[order]
+        out = np.zeros(len(values) + 1, np.int64)
+        out[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(values)])
+        return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at a and b, at most the limit."""
+        """Length of the common prefix of the suffixes at a and b, at most the limit (needs ``keep``)."""
+        most = np.minimum(np.minimum(self.stops[a] - a, self.stops[b] - b), self.limit)
         length = np.zeros(len(a), np.int64)
-        end = len(self.stops)
-        whole = self.ranks[-1][a] == self.ranks[-1][b]
-        for width, rank in zip(reversed(self.widths[:-1]), reversed(self.ranks[:-1])):
-            x, y = np.minimum(a + length, end), np.minimum(b + length, end)
-            x = np.where(x < self.stops[a], x, end)
-            y = np.where(y < self.stops[b], y, end)
-            equal = (rank[x] == rank[y]) & (x < end) & (y < end)
-            # Ranks of padded suffixes are equal only if the rest of both strings is.
-            length += np.where(equal, width, 0)
-        most = np.minimum(self.stops[a] - a, self.stops[b] - b)
-        return np.where(whole, np.minimum(most, self.limit), np.minimum(length, most))
+        for width, rank in reversed(self.levels):
+            fits = length + width <= most
+            x, y = np.where(fits, a + length, self.n), np.where(fits, b + length, self.n)
+            length += np.where(fits & (rank[x] == rank[y]), width, 0)
+        last = self.n - 1
+        differ = self.packed[np.minimum(a + length, last)] ^ self.packed[np.minimum(b + length, last)]
+        for _ in range(7):
+            same = (differ >> np.uint64(56) == 0) & (length < most)
+            length += same
+            differ = np.where(same, differ << np.uint64(8), np.uint64(0xFF << 56))
+        return np.minimum(length, most)
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """For each index the nearest index before it with a smaller value; -1: none.
 
-    Jumps along earlier answers, all indexes at once: a candidate that is not smaller is replaced by its own
-    best candidate so far.
+    Jumps along earlier answers, all open indexes at once: what lies between an index and its
+    candidate is never smaller, so a candidate that is not smaller gives way to its own candidate.
     """
     n = len(values)
     found = np.arange(-1, n - 1)
     padded = np.append(values, np.iinfo(np.int64).min)  # index -1 is smaller than all
-    while True:
-        wrong = padded[found] >= values
-        if not wrong.any():
-            return found
-        found = np.where(wrong, found[found], found)
+    open_ = np.flatnonzero(padded[found] >= values)
+    while len(open_):
+        found[open_] = found[found[open_]]
+        open_ = open_[padded[found[open_]] >= values[open_]]
+    return found
 
 
-def longest_previous_factor(suffixes: Suffixes, place: np.ndarray) -> np.ndarray:
-    """For each position the longest prefix that also starts at a position of smaller ``place``.
+def longest_previous_factor(
+    suffixes: Suffixes, starts: np.ndarray, place: np.ndarray, whole_only: bool = False
+) -> np.ndarray:
+    """For each start the longest prefix that also begins at a start of smaller ``place``.
 
-    Of all earlier positions, the neighbours in suffix order with a smaller place have the longest
-    common prefix: the previous and the next smaller value in the suffix array.
+    Of all earlier starts, the neighbours in suffix order with a smaller place have the longest
+    common prefix: the previous and the next smaller value in the suffix array. ``whole_only``
+    tells prefixes of the full limit (equal ranks) from shorter ones, which then count as 0.
     """
-    order = suffixes.order(place)
-    ranked = place[order]
+    order = np.lexsort((place, suffixes.rank[starts]))
+    ranked, sorted_starts = place[order], starts[order]
     n = len(order)
     before = previous_smaller(ranked)
     after = n - 1 - previous_smaller(ranked[::-1])[::-1]  # n: none
     out = np.zeros(n, np.int64)
     for near, ok in ((before, before >= 0), (after, after < n)):
         here = np.flatnonzero(ok)
-        length = suffixes.common(order[here], order[near[here]])
+        a, b = sorted_starts[here], sorted_starts[near[here]]
+        if whole_only:
+            room = np.minimum(suffixes.stops[a] - a, suffixes.stops[b] - b) >= suffixes.limit
+            length = np.where(room & (suffixes.rank[a] == suffixes.rank[b]), suffixes.limit, 0)
+        else:
+            length = suffixes.common(a, b)
         np.maximum.at(out, order[here], length)
     return out
 
@@ -250,12 +270,16 @@ def _decide(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     ends = np.cumsum(sizes)
     stops = np.repeat(ends, sizes)
     suffixes = Suffixes(data, stops, length)
-    place = np.arange(len(data))
-    earlier = longest_previous_factor(suffixes, place) >= length
-    either = earlier | (longest_previous_factor(suffixes, -place) >= length)
+    # Only the context's own starts are asked for: the bytes behind them are there to be read.
+    counts = frame["n"].to_numpy(np.int64)
+    before = np.cumsum(counts) - counts
+    starts = np.repeat(ends - sizes - before, counts) + np.arange(int(counts.sum()))
+    place = np.arange(len(starts))
+    earlier = longest_previous_factor(suffixes, starts, place, True) >= length
+    either = earlier | (longest_previous_factor(suffixes, starts, -place, True) >= length)
     rows = []
     for k, (core, ctx, n) in enumerate(zip(frame["core"], frame["ctx"], frame["n"])):
-        at = ends[k] - sizes[k]
+        at = before[k]
         for name, flags in (("any", either), ("earlier", earlier)):
             edge = np.diff(flags[at : at + n].astype(np.int8), prepend=0, append=0)
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):

@@ -44,8 +44,10 @@ def test_longest_previous_factor_matches_brute_force():
         data = rnd.integers(97, 97 + letters, size).astype(np.uint8)
         cuts = np.sort(rnd.integers(0, size, 3))
         stops = np.array([next((c for c in cuts if c > i), size) for i in range(size)])
-        for limit in (1, 2, 5, 16, 23):
-            got = rp.longest_previous_factor(rp.Suffixes(data, stops, limit), np.arange(size))
+        for limit in (1, 2, 5, 8, 9, 16, 23):
+            at = np.arange(size)
+            got = rp.longest_previous_factor(rp.Suffixes(data, stops, limit, keep=True), at, at)
+            whole = rp.longest_previous_factor(rp.Suffixes(data, stops, limit), at, at, True)
             want = []
             for i in range(size):
                 best = 0
@@ -56,6 +58,7 @@ def test_longest_previous_factor_matches_brute_force():
                     best = max(best, k)
                 want.append(best)
             assert got.tolist() == want, (size, letters, limit)
+            assert whole.tolist() == [limit * (w == limit) for w in want]
 
 
 def test_previous_smaller():
