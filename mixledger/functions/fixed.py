@@ -28,14 +28,6 @@ CONTROLS_BUT_LINES = r"[\p{Cc}&&[^\n\t]]"
 # Letters that decomposition leaves alone.
 FOLD_LETTERS = {"ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ð": "d"}
 
-# Limits of reports (never of what is compared).
-MAX_CANDIDATES = 20
-MAX_RELATED = 5
-MAX_MAYBE = 3
-MAX_LOCATIONS = 10
-MAX_SEARCH_TERMS = 12
-MAX_SPELLINGS = 3
-
 # States of a list item.
 STATES = ["satisfied", "missing", "ambiguous", "unknown", "unavailable", "source_selected"]
 OWNED_STATES = ["satisfied", "ambiguous", "unavailable"]

@@ -202,9 +202,10 @@ def failure_groups(items: DataFrame) -> DataFrame:
     )
 
 
-def items_by_state(items: DataFrame, job_id, state: str, *, after: int = -1, limit: int = 100) -> DataFrame:
+def items_by_state(items: DataFrame, job_id, state: str, *, after: int = -1, limit: int | None = None) -> DataFrame:
     rows = items.where((F.col("job_id") == job_id) & (F.col("state") == state) & (F.col("position") > after))
-    return rows.orderBy("position").limit(limit)
+    rows = rows.orderBy("position")
+    return rows if limit is None else rows.limit(limit)
 
 
 def latest_added(rows: DataFrame, n: int | None = None) -> DataFrame:

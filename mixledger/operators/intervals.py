@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BEFORE = 90.0
@@ -33,16 +33,16 @@ def rank_hints(
     *,
     before: float = BEFORE,
     after: float = AFTER,
-    k: int = 20,
+    k: int | None = None,
 ) -> DataFrame:
-    """What listeners named near each moment (or anywhere), best first.
+    """What listeners named near each moment (or anywhere), best first: all songs, or the first k.
 
     mentions[set_id, n, artist, title, song, seconds, likes]. A comment counts once per song; songs
     rank by mentions, likes, closeness and first comment.
     """
     keys = ["set_id", "song"]
     if moments is None:
-        rows = mentions.where(F.col("seconds").isNotNull() | F.lit(True)).withColumn("_gap", F.col("seconds"))
+        rows = mentions.withColumn("_gap", F.col("seconds"))
     else:
         keys = ["set_id", "at", "song"]
         # Mentions at one second by one comment are one row before they are paired.
@@ -63,10 +63,9 @@ def rank_hints(
         F.min("n").alias("first"),
         F.min_by("_label", "n").alias("_label"),
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys[:-1]).orderBy(
         F.desc("mentions"), F.desc("likes"), F.col("_near._gap").asc_nulls_last(), F.asc("first"), F.asc("song")
     )
-    ranked = songs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = songs.withColumn("rank", F.row_number().over(w))
+    ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
     return ranked.select(*keys, "_label.artist", "_label.title", "mentions", "likes", F.col("_near.seconds").alias("at_seconds"), "rank")

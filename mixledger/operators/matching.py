@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.steps import bind
 from ..session import cut_lineage, spread
 from ..functions.labels import label, similar_credits, stems, with_forms
@@ -88,12 +87,19 @@ def _tagged(**keys: str) -> Column:
     return F.array(*(F.concat(F.lit(f"{tag}:"), F.col(name)) for tag, name in keys.items()))
 
 
-def _top(rows: DataFrame, key: list[str], order: list, limit: int) -> DataFrame:
-    """The first rows per key. The rank filter is applied before the shuffle as well."""
+def _top(rows: DataFrame, key: list[str], order: list, limit: int | None) -> DataFrame:
+    """The first rows per key, or all; a rank filter is applied before the shuffle as well."""
+    if limit is None:
+        return rows
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
 
 
+def _shown(rows: Column, limit: int | None) -> Column:
+    """What a report shows of a list; counts and states are taken from the whole."""
+    return rows if limit is None else F.slice(rows, 1, limit)
+
+
 def _merged(lists: Column) -> Column:
     """Lists of rows as one, each row once, in id order."""
     return F.array_sort(F.array_distinct(F.flatten(lists)))
@@ -103,14 +109,15 @@ def resolve_labels(
     labels: DataFrame,
     catalog: DataFrame,
     *,
-    max_candidates: int = fixed.MAX_CANDIDATES,
-    max_related: int = fixed.MAX_RELATED,
-    max_maybe: int = fixed.MAX_MAYBE,
+    max_candidates: int | None = None,
+    max_related: int | None = None,
+    max_maybe: int | None = None,
 ) -> DataFrame:
     """One row per distinct label: exact matches, other versions, similar credits.
 
-    ``catalog`` has the columns of ``availability``. Counts stay exact: a label with more than
-    ``max_candidates`` matches is marked truncated, which makes it ambiguous.
+    ``catalog`` has the columns of ``availability``. The limits cut only the lists that a report
+    shows (``matches``, ``related``, ``maybe``), and ``truncated`` says that ``matches`` was cut;
+    ``exact`` and the totals are always whole.
     """
     # Both tables of forms are read twice below, so each is written once.
     asked = cut_lineage(with_forms(spread(labels.select(*LABEL).distinct())))
@@ -138,13 +145,7 @@ def resolve_labels(
             )
         ).alias("_key"),
     )
-    filed = _top(
-        keyed,
-        ["_key"],
-        ["row.recording_id", "row.revision_id"],
-        max_candidates + 1 + max_related,
-    )
-    filed = filed.groupBy("_key").agg(F.collect_list("row").alias("rows"))
+    filed = keyed.groupBy("_key").agg(F.collect_list("row").alias("rows"))
     forms = ["identity_key", "label_key_exact", "credit_key_exact", "base_key"]
     wide = (
         asked.select(
@@ -163,8 +164,6 @@ def resolve_labels(
         .select(*LABEL, "_forms.*", "_all", "_others")
     )
 
-    same = F.col("_same")
-
     def close(c: Column) -> Column:
         return (
             (c["identity_key"] == F.col("identity_key"))
@@ -186,14 +185,12 @@ def resolve_labels(
             F.when(counted, c["path"]),
         )
 
-    wide = bind(
-        wide, truncated=F.size("_all") > max_candidates, _same=F.slice("_all", 1, max_candidates)
-    )
-    wide = bind(wide, _any_close=F.exists(same, close))
+    cut = F.lit(False) if max_candidates is None else F.size("_all") > max_candidates
+    wide = bind(wide, truncated=cut, _any_close=F.exists("_all", close))
     wide = bind(
         wide,
-        matches=F.transform(same, shown),
-        exact=F.transform(F.filter(same, lambda c: ~F.col("_any_close") | close(c)), shown),
+        matches=F.transform(_shown(F.col("_all"), max_candidates), shown),
+        exact=F.transform(F.filter("_all", lambda c: ~F.col("_any_close") | close(c)), shown),
     )
     own_base = F.col("base_key")
     fresh = F.filter(
@@ -202,9 +199,12 @@ def resolve_labels(
     )
     nearer = F.filter(fresh, lambda o: o["base_key"] == own_base)
     farther = F.filter(fresh, lambda o: o["base_key"] != own_base)
-    related = F.slice(F.concat(nearer, farther), 1, max_related)
+    wide = bind(wide, _related=F.concat(nearer, farther))
+    related = _shown(F.col("_related"), max_related)
     wide = bind(
         wide,
+        match_total=F.size("_all"),
+        related_total=F.size("_related"),
         related=F.coalesce(
             F.transform(
                 related, lambda o: _candidate(o, F.lit("different_version"), F.lit("not_checked"), None)
@@ -220,7 +220,9 @@ def resolve_labels(
             "maybe",
             F.when(unmatched, F.col("maybe")).otherwise(F.array().cast(CANDIDATE_TYPE)),
         )
-        .select(*LABEL, "identity_key", "exact", "matches", "related", "maybe", "truncated")
+        .select(
+            *LABEL, "identity_key", "exact", "matches", "related", "maybe", "truncated", "match_total", "related_total"
+        )
     )
 
 
@@ -237,8 +239,8 @@ def _candidate(c: Column, how: Column, available: Column, path: Column | None) -
     )
 
 
-def _similar(labels: DataFrame, held: DataFrame, limit: int) -> DataFrame:
-    """Same title and mix under a shorter or longer credit, at most ``limit`` per label.
+def _similar(labels: DataFrame, held: DataFrame, limit: int | None) -> DataFrame:
+    """Same title and mix under a shorter or longer credit, all or the first ``limit`` per label.
 
     Distinct credit forms are compared, not rows, and only where they share the first two words of
     a name: names that start one another always do.
@@ -325,7 +327,7 @@ ACCEPTED = "struct<recording_id:string,revision_id:string,path:string,basis:stri
 ANSWER = ["state", "accepted", "candidates", "exact_count", "candidates_truncated", "matched_as"]
 
 
-def _chosen(items: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+def _chosen(items: DataFrame, held: DataFrame, limit: int | None) -> DataFrame:
     """Items whose recording the operator picked: only that recording is compared."""
     wanted = with_forms(items.select("list_id", "item_id", "kind", *LABEL, "choice"))
     mine = with_forms(held).select(
@@ -355,7 +357,6 @@ def _chosen(items: DataFrame, held: DataFrame, limit: int) -> DataFrame:
             ),
         }
     )
-    pairs = _top(pairs, ["list_id", "item_id"], ["row.revision_id"], limit + 1)
     c = _candidate(
         F.struct("recording_id", "row.*"), F.col("identity_match"), F.col("row.availability"), F.col("row.path")
     )
@@ -366,9 +367,9 @@ def _chosen(items: DataFrame, held: DataFrame, limit: int) -> DataFrame:
         "list_id",
         "item_id",
         F.filter("_all", lambda x: x["identity_match"] != "different_labels").alias("exact"),
-        F.slice("_all", 1, limit).alias("candidates"),
+        _shown(F.col("_all"), limit).alias("candidates"),
         F.array().cast(CANDIDATE_TYPE).alias("maybe"),
-        (F.size("_all") > limit).alias("truncated"),
+        (F.lit(False) if limit is None else F.size("_all") > limit).alias("truncated"),
         F.when(
             F.col("_as").isNotNull(), F.struct(F.col("_as").alias("label"), F.lit("you").alias("source"))
         ).alias("matched_as"),
@@ -382,9 +383,9 @@ def check_lists(
     inventory: DataFrame | None = None,
     resolutions: DataFrame | None = None,
     *,
-    max_candidates: int = fixed.MAX_CANDIDATES,
-    max_related: int = fixed.MAX_RELATED,
-    max_maybe: int = fixed.MAX_MAYBE,
+    max_candidates: int | None = None,
+    max_related: int | None = None,
+    max_maybe: int | None = None,
 ) -> DataFrame:
     """Every list item with its state against one library.
 
@@ -473,12 +474,8 @@ def _decide(rows: DataFrame) -> DataFrame:
     picked = F.col("choice").isNotNull()
     picked_file = F.col("choice.revision_id").isNotNull()
     rows = bind(rows, _eligible=F.filter("exact", lambda c: c["availability"] == "verified"))
-    one = (F.size("_eligible") == 1) & (picked_file | (F.size("exact") == 1)) & ~F.col("truncated")
-    several = (
-        F.col("truncated")
-        | ((F.size("exact") > 1) & ~picked)
-        | (F.size("_eligible") > 1)
-    )
+    one = (F.size("_eligible") == 1) & (picked_file | (F.size("exact") == 1))
+    several = ((F.size("exact") > 1) & ~picked) | (F.size("_eligible") > 1)
     state = (
         F.when((F.col("kind") != "named") & ~picked, "unknown")
         .when(one, "satisfied")

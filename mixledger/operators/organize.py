@@ -13,15 +13,14 @@ from .scan import LIGHT_ROWS, Scan, scan
 
 
 def tag_values(tags: Column, names: Sequence[str]) -> Column:
-    """Distinct values under any alias of a field, at most 32, in tag order."""
+    """Distinct values under any alias of a field, in tag order."""
 
     def ours(name: Column, _value: Column) -> Column:
         low = F.lower(name)
         return low.isin(*names) | F.substring_index(low, ":", 1).isin(*names)
 
     values = F.flatten(F.map_values(F.map_filter(tags, ours)))
-    short = F.transform(values, lambda v: F.trim(F.substring(v, 1, 4000)))
-    return F.slice(F.array_distinct(F.filter(short, lambda v: v != "")), 1, 32)
+    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
 
 
 def _known(raw: Column, parsed: Column) -> Column:
@@ -156,7 +155,7 @@ def filter_reasons(
     if unknown == "exclude":
         return rows.withColumn("reasons", F.concat("reasons", "unknowns"))
     if unknown == "error":
-        message = F.lit("A requested filter has unknown or unverified evidence.")
+        message = F.lit("organize: no verified value for a field that the filter needs")
         checked = F.when(F.size("unknowns") > 0, F.raise_error(message)).otherwise(F.col("reasons"))
         return rows.withColumn("reasons", checked.cast("array<string>"))
     return rows

@@ -243,20 +243,23 @@ def rank_sources(
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def worth_probing(ranked: DataFrame, count: int = 3) -> DataFrame:
-    """The best few uploads of the requested version, for an availability check."""
+def worth_probing(ranked: DataFrame, count: int | None = None) -> DataFrame:
+    """The uploads of the requested version, best first, for an availability check: all or a few."""
     w = Window.partitionBy("request_id").orderBy("rank")
     good = ranked.where(~F.col("other_version")).withColumn("_n", F.row_number().over(w))
-    return good.where(F.col("_n") <= count).drop("_n")
+    return (good if count is None else good.where(F.col("_n") <= count)).drop("_n")
 
 
-def plan_fetch(items: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Missing items with the upload to fetch, or up to three to choose from and why."""
+def plan_fetch(items: DataFrame, ranked: DataFrame, *, shown: int | None = None) -> DataFrame:
+    """Missing items with the upload to fetch, or those to choose from and why.
+
+    ``shown`` cuts the options and alternates of a report; ``n_options`` is their true number.
+    """
     best = ranked.where("confident").select("request_id", F.struct("url", "title", "duration").alias("_best"))
-    options = (
-        ranked.where(F.col("rank") <= 3)
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "url", "title"))).alias("options"))
+    inside = F.lit(True) if shown is None else F.col("rank") <= shown
+    options = ranked.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.when(inside, F.struct("rank", "url", "title")))).alias("options"),
+        F.count("*").alias("n_options"),
     )
     length = ranked.join(best, "request_id").where(
         (F.col("url") != F.col("_best.url"))
@@ -266,7 +269,7 @@ def plan_fetch(items: DataFrame, ranked: DataFrame) -> DataFrame:
     w = Window.partitionBy("request_id").orderBy("rank")
     others = (
         length.withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= 3)
+        .where(F.lit(True) if shown is None else F.col("_n") <= shown)
         .groupBy("request_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("alternates"))
     )
@@ -282,4 +285,5 @@ def plan_fetch(items: DataFrame, ranked: DataFrame) -> DataFrame:
         .otherwise("no clear match")
         .alias("reason"),
         "options",
+        F.coalesce("n_options", F.lit(0)).alias("n_options"),
     )

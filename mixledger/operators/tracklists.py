@@ -199,7 +199,7 @@ def file_name_labels(stem: Column) -> tuple[Column, Column]:
     parts = F.split(plain, SEPARATOR, 2)
     artist, title = F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
     good = (artist != "") & (title != "") & ~plain.rlike(r"[\x00-\x1F]")
-    return F.when(good, F.substring(artist, 1, 500)).otherwise(""), F.when(good, F.substring(title, 1, 1000)).otherwise("")
+    return F.when(good, artist).otherwise(""), F.when(good, title).otherwise("")
 
 
 def listing_source(text: Column, name: Column) -> Column:

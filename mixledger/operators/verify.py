@@ -29,15 +29,14 @@ def sizes_to_hash(files: DataFrame, expected: DataFrame) -> DataFrame:
     return files.join(expected.select(F.col("size_bytes").alias("size")).distinct(), "size", "left_semi")
 
 
-def hash_inventory(expected: DataFrame, files: DataFrame, *, keep: int = 10) -> DataFrame:
-    """Each expected hash: found or not, in how many files, and the first ``keep`` paths."""
+def hash_inventory(expected: DataFrame, files: DataFrame, *, keep: int | None = None) -> DataFrame:
+    """Each expected hash: found or not, in how many files, and their paths (all, or the first)."""
     want = expected.select("sha256").distinct()
     here = files.join(want, "sha256", "left_semi")
     w = Window.partitionBy("sha256").orderBy("path")
+    listed = here if keep is None else here.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
     some = (
-        here.withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= keep)
-        .groupBy("sha256")
+        listed.groupBy("sha256")
         .agg(F.array_sort(F.collect_list("path")).alias("relative_paths"))
     )
     counts = here.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))

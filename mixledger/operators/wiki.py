@@ -125,7 +125,7 @@ def wiki_tracks(lines: DataFrame) -> DataFrame:
     )
     rows = rows.where((F.col("label") != "") & ~F.col("label").rlike(GAP) & ~F.col("label").rlike(PART))
     rows = scan(
-        rows.select("pageid", "line_no", "seconds", F.substring("label", 1, 1000).alias("label")),
+        rows.select("pageid", "line_no", "seconds", "label"),
         ["pageid"],
         ["line_no"],
         F.floor(F.col("line_no") / 10_000),
@@ -287,9 +287,12 @@ def match_pages(uploads: DataFrame, facts: DataFrame) -> DataFrame:
         "pageid", "names", "event", "event_keys", "page_words", "page_numbers", "lengths", "radio_show", "_pdays", "_year",
         F.get("names", F.lit(0)).alias("_dj"), F.explode("event_keys").alias("_word"),
     )
-    # An upload and a page meet on the first DJ's whole name and a word of the event.
+    # An upload and a page meet on the first DJ's whole name and a word of the event. Names have as
+    # many words as the pages say, so those lengths alone are cut out of the uploads.
+    sizes = page.agg(F.collect_set(F.size(F.split("_dj", " ")))).first()[0]
+
     def phrases(words: Column) -> Column:
-        return F.concat(*(_grams(words, n) for n in range(1, 6)))
+        return F.concat(F.array().cast("array<string>"), *(_grams(words, n) for n in sorted(sizes)))
 
     named_by = F.array_distinct(F.concat(phrases(F.col("words")), phrases(F.col("context"))))
     pairs = (

@@ -51,14 +51,13 @@ checked as (
     i.list_id || '-' || i.position as item_id,
     case when i.kind = 'unknown' then 0 else coalesce(e.n, 0) end as exact_count,
     case when i.kind = 'unknown' then 'unknown'
-      when coalesce(e.n, 0) > 20 then 'ambiguous'
       when e.n = 1 and e.n_verified = 1 then 'satisfied'
       when e.n > 1 then 'ambiguous'
       when e.n = 1 then 'unavailable'
       else 'missing' end as state,
     case when i.kind = 'named' and e.n = 1 and e.n_verified = 1 then e.recording_id end as accepted,
     case when i.kind = 'unknown' then 0
-      else least(5, coalesce(b.n, 0) - coalesce(e.n, 0)) end as other_versions
+      else coalesce(b.n, 0) - coalesce(e.n, 0) end as other_versions
   from asked i
   left join exact e on e.a = i.a and e.full_title = i.full_title
   left join bases b on b.a = i.a and b.bare_title = i.base)

@@ -39,7 +39,7 @@ def test_forms(spark, one, other, key, same):
     assert (a[key] == b[key]) is same
 
 
-def run(spark, catalog, items, changed=(), resolutions=None):
+def run(spark, catalog, items, changed=(), resolutions=None, **limits):
     held = spark.createDataFrame(
         [(r, f"v{r}", k or f"{a}|{t}|{v}", a, t, v, f"sha{r}") for r, a, t, v, k in catalog], CATALOG
     )
@@ -52,7 +52,7 @@ def run(spark, catalog, items, changed=(), resolutions=None):
     asked = spark.createDataFrame(items, ITEM)
     if resolutions is not None:
         resolutions = spark.createDataFrame(resolutions, "list_id string, item_id string, recording_id string, revision_id string")
-    return check_lists(asked, held, places, inventory, resolutions)
+    return check_lists(asked, held, places, inventory, resolutions, **limits)
 
 
 def item(i, artist, title, version="", also=None, kind="named"):
@@ -100,10 +100,12 @@ def test_states(spark):
     assert [c.identity_match for c in rows["i12"].candidates] == ["similar_credits"]
 
 
-def test_truncated_is_ambiguous_and_choice_resolves(spark):
-    catalog = [(str(i), "A", "T", "", None) for i in range(25)]
+def test_counts_are_whole_and_choice_resolves(spark):
+    catalog = [(str(i), "A", "T", "", None) for i in range(30)]
     rows = run(spark, catalog, [item(1, "A", "T")]).collect()
-    assert rows[0].state == "ambiguous" and rows[0].candidates_truncated and len(rows[0].candidates) == 20
+    assert rows[0].state == "ambiguous" and rows[0].exact_count == 30 == len(rows[0].candidates)
+    rows = run(spark, catalog, [item(1, "A", "T")], max_candidates=20).collect()
+    assert rows[0].exact_count == 30 and rows[0].candidates_truncated and len(rows[0].candidates) == 20
     rows = run(spark, catalog, [item(1, "A", "T")], resolutions=[("L", "i1", "3", "v3")]).collect()
     assert rows[0].state == "satisfied" and rows[0].accepted.basis == "operator_selection"
 
