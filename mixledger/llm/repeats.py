@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -43,7 +43,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     filled = 1
     while filled < n:  # doubling: base ** (filled + i) = base ** filled * base ** i
         step = min(filled, n - filled)
-        out[filled : filled + step] = out[:step] * (out[filled - 1] * base)
+        out[filled : filled + step] = out[:step] * out[filled - 1 : filled] * base
         filled += step
     return out
 
@@ -332,23 +332,33 @@ def _by_hash(contexts: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "first", "core", "ctx"]
         for batch in batches:
-            for row in batch.to_pylist():
-                n, raw = row["n"], row["raw"]
-                marks = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                cols = [pa.array([row[c]] * n, batch.schema.field(c).type) for c in ("doc_id", "first", "core", "ctx")]
-                cols += [pa.array(range(n), pa.int32()), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "first", "core", "ctx", "a", "mark"])
+            counts = np.array(batch.column(batch.schema.get_field_index("n")).to_pylist(), np.int64)
+            raws = batch.column(batch.schema.get_field_index("raw"))
+            marks = []
+            for raw, n in zip(raws, counts.tolist()):
+                text = raw.as_py()
+                marks += [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)]
+            index = pa.array(np.repeat(np.arange(len(counts)), counts))
+            a = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+            cols = [batch.column(batch.schema.get_field_index(c)).take(index) for c in names]
+            cols += [pa.array(a, pa.int32()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "a", "mark"])
 
     kind = contexts.schema["doc_id"].dataType.simpleString()
-    each = contexts.mapInArrow(run, f"doc_id {kind}, first bigint, core bigint, ctx bigint, a int, mark binary")
-    each = each.dropDuplicates(["core", "ctx", "a"])  # repeated rows bring a context twice
+    once = contexts.dropDuplicates(["core", "ctx"])  # repeated rows bring a context twice
+    each = staged(once.mapInArrow(run, f"doc_id {kind}, first bigint, core bigint, ctx bigint, a int, mark binary"))
     at = F.struct("doc_id", (F.col("first") + F.col("a")).alias("p"))
     seen = each.groupBy("mark").agg(F.count("*").alias("c"), F.min(at).alias("least")).where("c > 1")
-    met = each.join(seen, "mark")
-    later = met.where(~at.eqNullSafe(F.col("least")))
-    cols = ["core", "ctx", "kind", "a", (F.col("a") + 1).alias("b")]
-    return met.withColumn("kind", F.lit("any")).select(*cols).union(later.withColumn("kind", F.lit("earlier")).select(*cols))
+    met = each.join(seen, "mark").withColumn("later", ~at.eqNullSafe(F.col("least")))
+    kinds = F.when(F.col("later"), F.array(F.lit("any"), F.lit("earlier"))).otherwise(F.array(F.lit("any")))
+    flagged = met.select("core", "ctx", "a", F.explode(kinds).alias("kind"))
+    # Neighbouring starts as one run; a context has few starts, whatever the number of contexts.
+    order = Window.partitionBy("core", "ctx", "kind").orderBy("a")
+    runs = flagged.withColumn("run", F.col("a") - F.row_number().over(order))
+    grouped = runs.groupBy("core", "ctx", "kind", "run").agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b"))
+    return grouped.select("core", "ctx", "kind", "a", "b")
 
 
 def repeated_starts(
@@ -362,7 +372,8 @@ def repeated_starts(
     rows = anchor_rows(docs, length, gram)
     # Anchors seen once cannot repeat. Two combined extremes tell whether all contexts are equal.
     cores = rows.groupBy("core").agg(F.count("*").alias("seen"), F.min("ctx").alias("x"), F.max("ctx").alias("y"))
-    cores = cores.where("seen > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
+    # Written first, so that both sides of the join are plain shuffles and a hot anchor can be split.
+    cores = staged(cores.where("seen > 1").select("core", (F.col("x") != F.col("y")).alias("mixed")))
     near = staged(rows.join(cores, "core"))
     at = F.struct("doc_id", "first", "h", "n")
     groups = near.groupBy("core", "ctx").agg(
@@ -396,8 +407,9 @@ def repeated_starts(
             "doc_id", "h", F.lit("earlier").alias("kind"), start.alias("a"), (start + F.col("n")).alias("b")
         ),
     ]
-    # Rows that repeat an id and a text: their copies tie on the place, so all of them count as first.
-    part = known.where("mixed").join(found, ["core", "ctx"])
+    # What is left is the first copy of each context. (Rows that repeat an id and a text tie on the
+    # place, so all of them are first.) One row for each context meets the runs found in it.
+    part = known.where(F.col("mixed") & place.eqNullSafe(F.col("least"))).join(found, ["core", "ctx"])
     spans.append(part.select("doc_id", "h", "kind", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b")))
     out = spans[0]
     for more in spans[1:]:
