@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.labels import base_title, without_artist_tags
 from ..functions.steps import bind
 from ..functions.text import accent_fold, words_of
 from .scan import Scan, scan
-from ..functions.labels import base_title, without_artist_tags
+from .tracklists import SEPARATOR
 
 # Lengths in seconds, score parts and words of the ranking.
 MIN_SECONDS = 60
@@ -32,6 +34,25 @@ VERSION_TERMS = (
     "remix bootleg edit vip rework flip dub live cover karaoke instrumental acapella "
     "slowed reverb nightcore 8d mashup acoustic extended mix lyrics"
 ).split()
+VERSION_PHRASES = {
+    "unplugged": "live", "a cappella": "acapella", "sped up": "sped up", "speed up": "sped up", "mash up": "mashup", "lyric": "lyrics",
+}
+ALIASES = {"rmx": "remix", "remixed": "remix", "remixes": "remix", "acappella": "acapella", "accapella": "acapella"}
+VENUES = (
+    "osheaga|coachella|glastonbury|tomorrowland|lollapalooza|primavera|sonar|dekmantel|"
+    "awakenings|creamfields|bonnaroo|roskilde|pukkelpop|werchter|fuji rock|outside lands|"
+    "parklife|letterman|fallon|kimmel|jools holland|kexp|live lounge|maida vale|cercle|"
+    "colors show|audiotree|festival|concert|session|sessions"
+).split("|")
+MIX_PHRASES = ["dj mix", "mixtape", "megamix", "continuous mix", "mixed by", "b2b"]
+REASONS = {
+    "live": "live recording", "venue": "festival or venue upload", "mashup": "mashup", "medley": "medley", "mix": "different mix",
+}
+NOT_NAMES = ["mix", "version", "original", "the", "by"]
+DATED_BRACKET = r"[\(\[][^\)\]]*\b(?:19|20)\d{2}\b[^\)\]]*[\)\]]"
+NOT_VENUE = r"(?i)remaster|version|edition|mix|edit|anniversary|reissue|demo"
+X_JOIN = r"(?i)\S\s+[x×]\s+\S"
+TWO_SONGS = r"\S\s*/\s*\S"
 SET_PHRASES = [
     "boiler room", "live set", "essential mix", "tiny desk", "full set", "dj set",
     "full concert", "full album", "full show", "full mix",
@@ -44,92 +65,190 @@ VIDEO = r"(?i)\b(?:official\s+)?(?:music\s+)?video\b"
 
 def folded_words(text: Column) -> Column:
     """Words of a text without case, accents or apostrophes."""
-    return F.split(words_of(F.regexp_replace(accent_fold(text), "['’`´]", "")), " ")
+    return F.split(words_of(_flat(text)), " ")
 
 
-def _markers(words: Column) -> Column:
-    return F.array_intersect(words, F.array(*(F.lit(t) for t in VERSION_TERMS)))
+def _flat(text: Column) -> Column:
+    """A text without case, accents and apostrophes, its other marks in place."""
+    return accent_fold(F.regexp_replace(F.coalesce(text, F.lit("")), "['’`´]", ""))
 
 
-def _has(words: Column, phrase: Column) -> Column:
-    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+def _known(words: Column) -> Column:
+    """Words under the spelling that the terms use."""
+    names = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w))
 
 
-def assess(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """Request and entry pairs that can be the song, with their score before comparison.
+def _padded(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
-    requests[request_id, artist, title, version], entries[request_id, url, title, uploader, duration,
-    view_count, provider]. Words are folded per row of each side, before the sides meet.
-    """
-    wanted = requests.select(
-        "request_id",
-        folded_words(without_artist_tags(F.coalesce("artist", F.lit("")))).alias("_artist"),
-        folded_words(base_title("title")).alias("_title"),
-        folded_words(F.coalesce("version", F.lit(""))).alias("_version"),
-    )
-    found = entries.select(
-        "*",
-        folded_words(F.col("title")).alias("_t"),
-        folded_words(F.coalesce("uploader", F.lit(""))).alias("_u"),
+
+def _within(padded: Column, phrase: Column) -> Column:
+    return F.contains(padded, F.concat(F.lit(" "), phrase, F.lit(" ")))
+
+
+def _any(padded: Column, phrases: list[str]) -> Column:
+    return F.exists(F.array(*(F.lit(p) for p in phrases)), lambda p: _within(padded, p))
+
+
+def _markers(padded: Column, title: Column) -> Column:
+    """What a padded text of known words, and the title as written, say about the version."""
+    text = F.replace(padded, F.lit(" original mix "), F.lit(" "))
+    terms = [*((t, t) for t in VERSION_TERMS), *VERSION_PHRASES.items()]
+    every = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(n).alias("name")) for p, n in terms))
+    said = F.transform(F.filter(every, lambda t: _within(text, t["phrase"])), lambda t: t["name"])
+    parts = F.split(title, SEPARATOR, 2)
+    song = F.coalesce(F.get(parts, F.lit(1)), title)
+    seen = {
+        "venue": (title.rlike(DATED_BRACKET) & ~title.rlike(NOT_VENUE)) | _any(text, VENUES),
+        "mashup": song.rlike(X_JOIN),
+        "medley": base_title(F.regexp_replace(song, fixed.FEATURED, "")).rlike(TWO_SONGS),
+    }
+    more = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in seen.items())))
+    found = F.array_distinct(F.concat(said, more))
+    return F.when(F.size(found) > 1, F.array_remove(found, "mix")).otherwise(found)
+
+
+def _featured(text: Column) -> Column:
+    inside, bare = (F.regexp_extract_all(text, F.lit(fixed.FEATURED), F.lit(g)) for g in (1, 2))
+    return F.zip_with(inside, bare, lambda a, b: F.when(a != "", a).otherwise(b))
+
+
+def _names(credits: Column) -> Column:
+    """Single names of credit texts, in matching form."""
+    single = F.flatten(F.transform(credits, lambda c: F.split(c, fixed.CREDIT_SEPARATOR)))
+    return F.array_remove(F.array_distinct(F.transform(single, words_of)), "")
+
+
+def _same(core: Column, names: Column) -> Column:
+    close = F.replace(core, F.lit(" "), F.lit(""))
+    return (core != "") & F.exists(names, lambda n: F.replace(n, F.lit(" "), F.lit("")) == close)
+
+
+def wanted(requests: DataFrame) -> DataFrame:
+    """Requests in matching form; a mix named in brackets at the end of the title is the version."""
+    label = F.col("label") if "label" in requests.columns else F.lit("")
+    rows = bind(
+        requests.select("request_id", "artist", "title", "version", label.alias("label")),
+        _a=_flat(without_artist_tags(F.coalesce("artist", F.lit("")))),
+        _t=_flat(without_artist_tags(F.coalesce("title", F.lit("")))),
+        _v=_flat(without_artist_tags(F.coalesce("version", F.lit("")))),
+        _l=words_of(_flat(F.col("label"))),
     )
-    rows = found.join(wanted, "request_id")
+    rows = bind(rows, _song=F.trim(F.regexp_replace("_t", fixed.FEATURED, "")))
+    rows = bind(rows, _base=base_title("_song"))
+    rows = bind(rows, _tail=words_of(F.substring("_song", F.length("_base") + 1, F.length("_song"))))
+    tail = _markers(_padded(_known(F.split("_tail", " "))), F.col("_tail"))
+    named = (words_of(F.col("_v")) == "") & (F.col("_base") != F.col("_song")) & (F.size(F.array_remove(tail, "venue")) > 0)
+    rows = bind(rows, _version=F.when(named, F.col("_tail")).otherwise(words_of(F.col("_v"))))
+    rows = bind(rows, _version=F.when(F.col("_version").isin(fixed.ORIGINAL_VERSIONS), "").otherwise(F.col("_version")))
+    rows = bind(rows, _words=F.array_remove(_known(F.split("_version", " ")), ""))
+    need = F.filter("_words", lambda w: ~w.isin("mix", "version", "the"))
+    remixer = F.array_join(F.filter("_words", lambda w: ~w.isin(*VERSION_TERMS, *NOT_NAMES)), " ")
+    whole = F.concat_ws(" ", words_of(F.col("_a")), words_of(F.col("_t")), F.col("_version"))
     rows = bind(
         rows,
-        _words=F.array_distinct(F.concat("_t", "_u")),
-        _name=F.array_join("_artist", " "),
-        _core=F.regexp_replace(F.array_join("_u", " "), UPLOADER_SUFFIX, ""),
-        _need=F.filter("_version", lambda w: (w != "") & ~w.isin("mix", "version", "the", "original")),
-        _set=F.exists(F.array(*(F.lit(p) for p in SET_PHRASES)), lambda p: _has(F.col("_t"), p)),
+        _primary=_names(F.array(F.regexp_replace("_a", fixed.FEATURED, ""))),
+        _others=F.concat(_names(F.concat(_featured(F.col("_a")), _featured(F.col("_t")))), F.array(remixer)),
+        _need=F.when(F.size(need) > 0, need).otherwise(F.col("_words")),
+        _text=_padded(_known(F.split(whole, " "))),
+    )
+    asked = F.concat("artist", F.lit(" - "), "title", F.lit(" ("), "_version", F.lit(")"))
+    return rows.select(
+        "request_id",
+        "_primary",
+        F.array_remove(F.array_distinct(F.concat("_primary", "_others")), "").alias("_credited"),
+        F.array(F.col("_l")).alias("_label"),
+        F.array_remove(_known(F.split(words_of(F.col("_base")), " ")), "").alias("_title"),
+        "_need",
+        _markers(F.col("_text"), F.coalesce(asked, F.lit(""))).alias("_asked"),
+        F.col("_text").alias("_request"),
+        _any(F.col("_text"), [*SET_PHRASES, *MIX_PHRASES]).alias("_is_mix"),
     )
+
+
+def assess(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """Request and entry pairs that can be the song, with their score before comparison, and reasons.
+
+    requests[request_id, artist, title, version, label?], entries[request_id, url, title, uploader,
+    duration, view_count, provider, artists?]. Each side is folded per row, before the sides meet. Any one of
+    the credited names is enough, in the title, the uploader or the publisher's ``artists``.
+    """
+    credits = F.array_join("artists", " ") if "artists" in entries.columns else F.lit("")
+    found = bind(
+        entries,
+        _t=_known(folded_words(F.col("title"))),
+        _u=folded_words(F.col("uploader")),
+        _c=_padded(_known(folded_words(credits))),
+    )
+    core = F.regexp_replace(F.array_join("_u", " "), UPLOADER_SUFFIX, "")
+    bare = F.trim(F.regexp_replace(core, r"vevo$", ""))
+    found = bind(
+        found,
+        _core=F.when(bare != "", bare).otherwise(core),
+        _title_text=_padded(F.col("_t")),
+        _both=_padded(F.concat("_t", _known(F.col("_u")))),
+        _marks=_markers(_padded(F.col("_t")), F.coalesce("title", F.lit(""))),
+    )
+    rows = found.join(wanted(requests), "request_id")
+    words = F.split(F.trim("_both"), " ")
+    phrases = F.array(*(F.lit(p) for p in SET_PHRASES))
+    is_set = F.exists(phrases, lambda p: _within(F.col("_title_text"), p) & ~_within(F.col("_request"), p))
+    long = F.coalesce(F.col("duration") > MAX_TRACK_SECONDS, F.lit(False))
     fits = (
-        (F.size(F.array_except("_title", "_words")) == 0)
-        & (F.size(F.array_except("_need", "_words")) == 0)
-        & (F.col("duration").isNull() | F.col("duration").between(MIN_SECONDS, MAX_TRACK_SECONDS))
-        & ~F.col("_set")
+        ~F.coalesce(F.col("duration") < MIN_SECONDS, F.lit(False))
+        & (F.col("_is_mix") | ~(long | is_set))
+        & (F.size(F.array_except("_title", words)) == 0)
+        & (F.size(F.array_except("_need", words)) == 0)
     )
     rows = bind(
         rows.where(fits),
-        official=F.replace("_core", F.lit(" "), F.lit("")) == F.replace("_name", F.lit(" "), F.lit("")),
-        _named=_has(F.concat("_t", "_u"), F.col("_name")),
-        _extra=F.array_except(_markers(F.col("_t")), _markers(F.concat("_version", "_title"))),
-    )
-    rows = bind(
-        rows,
-        label=~F.col("official") & F.arrays_overlap("_u", F.array(*(F.lit(w) for w in LABEL_WORDS))),
-        _strong=F.array_except("_extra", F.array(F.lit("extended"), F.lit("lyrics"))),
+        official=_same(F.col("_core"), F.col("_credited")),
+        _named=F.size(F.filter("_primary", lambda n: _within(F.col("_both"), n) | _within(F.col("_c"), n))),
     )
-    # "mix" beside another marker says nothing of its own.
-    strong = F.when(F.size("_extra") > 1, F.array_remove("_strong", "mix")).otherwise(F.col("_strong"))
-    missing = ~F.col("_named") & ~F.col("official")
+    by_label = _same(F.col("_core"), F.col("_label")) | F.arrays_overlap("_u", F.array(*(F.lit(w) for w in LABEL_WORDS)))
+    rows = bind(rows, label=~F.col("official") & by_label)
+    rows = rows.where((F.col("_named") > 0) | F.col("official") | F.col("label"))
+    left = F.array_except("_marks", "_asked")
+    extra = F.when(F.array_contains("_asked", "live"), F.array_remove(left, "venue")).otherwise(left)
+    rows = bind(rows, _extra=extra, missing=~F.col("official") & (F.col("_named") < F.greatest(F.size("_primary"), F.lit(1))))
+    rows = bind(rows, _strong=F.array_sort(F.array_except("_extra", F.array(F.lit("extended"), F.lit("lyrics")))))
     topic = (F.col("provider") == "youtube") & F.rtrim("uploader").endswith("- Topic") & F.col("official")
+    audio, video = F.col("title").rlike(AUDIO), F.col("title").rlike(VIDEO)
     views = F.when(
         F.col("view_count") > 0, VIEWS_BONUS * F.least(F.log10(F.col("view_count") + 1) / 8, F.lit(1.0))
     ).otherwise(0.0)
-
-    def part(condition: Column, value: float) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(0.0)
-
-    rows = rows.where(F.col("_named") | F.col("official") | F.col("label"))
-    rows = bind(rows, _strong=strong, missing=missing)
-    score = (
-        F.lit(BASE_SCORE)
-        + part(F.col("official"), OFFICIAL_BONUS)
-        + part(F.col("label"), LABEL_BONUS)
-        - part(F.col("missing"), MISSING_PENALTY)
-        + part(topic, AUDIO_BONUS)
-        + F.when(F.col("title").rlike(AUDIO), AUDIO_BONUS).when(F.col("title").rlike(VIDEO), -VIDEO_PENALTY).otherwise(0.0)
-        - part(F.size("_strong") > 0, VERSION_PENALTY)
-        - part(F.array_contains("_extra", "extended"), EXTENDED_PENALTY)
-        - part(F.array_contains("_extra", "lyrics"), LYRICS_PENALTY)
-        + views
-    )
+    extended, lyrics = (F.array_contains("_extra", w) for w in ("extended", "lyrics"))
+    # (condition, what it adds to the score, the reason it gives)
+    parts = [
+        (F.col("official"), OFFICIAL_BONUS, "official artist upload"),
+        (F.col("label"), LABEL_BONUS, "label upload"),
+        (F.col("missing") & (F.col("_named") == 0), -MISSING_PENALTY, "artist not in title"),
+        (F.col("missing") & (F.col("_named") > 0), -MISSING_PENALTY, "credited artist missing"),
+        (topic, AUDIO_BONUS, "YouTube Topic channel"),
+        (audio, AUDIO_BONUS, "official audio"),
+        (~audio & video, -VIDEO_PENALTY, "music video; may differ from the track"),
+        (F.size("_strong") > 0, -VERSION_PENALTY, None),
+        (extended, -EXTENDED_PENALTY, "extended mix not requested"),
+        (lyrics, -LYRICS_PENALTY, "lyrics upload"),
+        (F.col("view_count") >= 100_000, 0.0, "high view count"),
+    ]
+    score, reasons = F.lit(BASE_SCORE) + views, []
+    said = F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))
+    strong = F.transform("_strong", lambda m: F.coalesce(F.try_element_at(said, m), F.concat(m, F.lit(" not requested"))))
+    for condition, value, reason in parts:
+        holds = F.coalesce(condition, F.lit(False))
+        score = score + F.when(holds, value).otherwise(0.0)
+        one = F.when(holds, F.array(F.lit(reason))) if reason else F.when(holds, strong)
+        reasons.append(F.coalesce(one, F.array().cast("array<string>")))
     return rows.select(
         *entries.columns,
         score.alias("score"),
         "official",
         "label",
         "missing",
-        ((F.size("_strong") > 0) | F.array_contains("_extra", "extended")).alias("other_version"),
+        ((F.size("_strong") > 0) | extended).alias("other_version"),
+        F.concat(*reasons).alias("reasons"),
     )
 
 
@@ -176,6 +295,9 @@ def compare_lengths(assessed: DataFrame) -> DataFrame:
         *(c for c in assessed.columns if c != "score"),
         score.alias("score"),
         F.coalesce(near, F.lit(False)).alias("length_agrees"),
+    ).withColumn(
+        "reasons",
+        F.when(F.col("length_agrees"), F.array_append("reasons", F.lit("duration matches others"))).otherwise(F.col("reasons")),
     )
 
 
@@ -208,6 +330,8 @@ def rank_sources(
     rows = rows.join(vouched, ["request_id", "url"], "left").withColumn(
         "vouched", F.coalesce("_vouched", F.lit(False))
     )
+    as_long = F.array_append("reasons", F.lit("same length as the artist's upload"))
+    rows = rows.withColumn("reasons", F.when(F.col("vouched"), as_long).otherwise(F.col("reasons")))
     kept = rows.where(F.coalesce("available", F.lit(True))).withColumns(
         {"_score": -F.col("score"), "_views": -F.coalesce("view_count", F.lit(0))}
     )

@@ -82,15 +82,21 @@ def history_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def requests_and_entries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     part = views.table(spark, folder, "part")
     request = F.concat_ws("/", "p_brand", "p_name")
+    remix = F.when(F.length("p_name") % 3 == 0, " (Foo Remix)").otherwise("")
     requests = part.select(
-        request.alias("request_id"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"), F.lit("").alias("version")
+        request.alias("request_id"),
+        F.concat("p_brand", F.lit(" & Somebody Else")).alias("artist"),
+        F.concat("p_name", remix).alias("title"),
+        F.lit("").alias("version"),
     ).distinct()
+    mix = F.when(F.col("p_size") % 6 == 0, " (Live Remix)").when(F.col("p_size") % 6 == 1, " (Foo RMX)")
+    mix = F.coalesce(mix.when(F.col("p_size") % 6 == 2, " (Unplugged)"), F.lit(""))
     key = F.col("p_partkey")
     entries = part.select(
         request.alias("request_id"),
         key.cast("string").alias("url"),
         F.when(key % 5 == 0, "youtube").otherwise("soundcloud").alias("provider"),
-        F.concat("p_brand", F.lit(" - "), "p_name", F.when(F.col("p_size") % 6 == 0, " (Live Remix)").otherwise("")).alias("title"),
+        F.concat("p_brand", F.lit(" - "), "p_name", mix).alias("title"),
         F.when(key % 4 == 0, F.concat("p_brand", F.lit(" - Topic")))
         .when(key % 4 == 1, F.concat("p_brand", F.lit(" Records")))
         .otherwise("someone")
@@ -103,23 +109,25 @@ def requests_and_entries(spark: SparkSession, folder: str) -> tuple[DataFrame, D
 
 @query("""with e as (
   select p_brand || '/' || p_name as request_id, p_partkey::varchar as url, floor(p_retailprice) / 10 as duration,
-    p_size * 1000 as views, p_size % 6 = 0 as other_version, p_partkey % 4 = 0 as official, p_partkey % 4 = 1 as label,
-    p_brand || ' - ' || p_name || case when p_size % 6 = 0 then ' (Live Remix)' else '' end as title,
+    p_size * 1000 as views, length(p_name) % 3 <> 0 and p_size % 6 in (0, 1, 2) as other_version,
+    p_partkey % 4 = 0 as official, p_partkey % 4 = 1 as label,
+    p_brand || ' - ' || p_name || case p_size % 6 when 0 then ' (Live Remix)' when 1 then ' (Foo RMX)' when 2 then ' (Unplugged)' else '' end as title,
     case when p_partkey % 4 = 0 then p_brand || ' - Topic' when p_partkey % 4 = 1 then p_brand || ' Records' else 'someone' end as uploader,
     case when p_partkey % 5 = 0 then 'youtube' else 'soundcloud' end as provider,
-    0.6 + case when p_partkey % 4 = 0 then 0.15 when p_partkey % 4 = 1 then 0.06 else 0 end
-     + case when p_partkey % 20 = 0 then 0.05 else 0 end - case when p_size % 6 = 0 then 0.4 else 0 end
+    0.6 + case when p_partkey % 4 = 0 then 0.15 when p_partkey % 4 = 1 then 0.06 - 0.05 else -0.05 end
+     + case when p_partkey % 20 = 0 then 0.05 else 0 end
+     - case when length(p_name) % 3 <> 0 and p_size % 6 in (0, 1, 2) then 0.4 else 0 end
      + 0.04 * least(log10(p_size * 1000 + 1) / 8, 1) as base
-  from part where floor(p_retailprice) / 10 between 60 and 900),
+  from part where floor(p_retailprice) / 10 between 60 and 900 and (length(p_name) % 3 <> 0 or p_size % 6 = 1)),
  m as (select *, not other_version and abs(duration - (select median(duration) from e o where o.request_id = e.request_id
     and not o.other_version and o.url <> e.url)) <= 8 as near from e),
  s as (select *, round(least(greatest(base + case when near then 0.1 else 0 end, 0), 1), 3) as score,
    label and exists (select 1 from e o where o.request_id = m.request_id and o.official and not o.other_version
     and abs(o.duration - m.duration) <= 2) as vouched from m),
  r as (select *, row_number() over w as rank, lead(score) over w as s2, lead(official or label) over w as o2,
-   lead(other_version) over w as v2, lead(duration) over w as d2 from s
+   lead(other_version) over w as v2, lead(duration) over w as d2, official or vouched as whole from s
    window w as (partition by request_id order by score desc, views desc, title, uploader, provider, url))
- select request_id, url, score, rank, other_version, rank = 1 and not other_version and score >= 0.75
+ select request_id, url, score, rank, other_version, rank = 1 and whole and not other_version and score >= 0.75
    and (s2 is null or round(score - s2, 3) >= 0.1 or coalesce(o2 and not v2 and abs(d2 - duration) <= 2, false) or vouched) as confident
  from r""")
 def rank_sources(spark: SparkSession, folder: str) -> DataFrame:
