@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_forms
-from ..session import cut_lineage, spread
+from ..session import spread
+from .graph import components
 from .scan import LIGHT_ROWS, Hot, Scan, scan
 
 LIST_SIZE = 1000
@@ -45,72 +43,56 @@ def _fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     )
 
 
-def history_merge(records: DataFrame, *, order: str = "position") -> DataFrame:
-    """One row per song and user, by ISRC else by label: sums and firsts that combine map-side.
+def with_songs(records: DataFrame, order: str = "position") -> DataFrame:
+    """Records with their keys and ``song``: what shares an ISRC, a label or a credit is one song.
 
-    Two keys that only a third record bridges stay apart here; ``history_merge_linked`` joins them.
+    Keys link directly or through other records of the user, whatever the order of the records. A record without a
+    title links by its ISRC alone, and one without any key is a song of its own, so unlabelled records
+    never meet in one group. Links are found between distinct keys, not rows.
     """
-    rows = with_song_keys(records).withColumn("song_key", F.coalesce("isrc_key", "label_key"))
-    return _fold(rows, ["user_id", "song_key"], order).drop("_order")
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Link the key triples of one component in order: the first known key decides."""
-    seen: dict = {}
-    groups = []
-    for row in pdf.sort_values("first_order").itertuples():
-        keys = [k for k in (("i", row.isrc_key), ("l", row.label_key), ("c", row.credit_key)) if k[1]]
-        group = next((seen[k] for k in keys if k in seen), row.triple)
-        for key in keys:
-            seen.setdefault(key, group)
-        groups.append((row.user_id, row.triple, group))
-    return pd.DataFrame(groups, columns=["user_id", "triple", "song"])
+    rows = with_song_keys(records)
+    titled = F.trim(F.coalesce("title", F.lit(""))) != ""
+    keys = F.array_compact(
+        F.array(
+            F.concat(F.lit("i:"), F.col("isrc_key")),
+            F.when(titled, F.concat(F.lit("l:"), F.col("label_key"))),
+            F.when(titled, F.concat(F.lit("c:"), F.col("credit_key"))),
+        )
+    )
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit(""))
+    nodes = F.transform(keys, lambda k: F.concat(user, F.lit("\u001f"), k))
+    alone = F.concat(user, F.lit("\u001f"), F.lit("r:"), F.coalesce(F.col(order).cast("string"), F.lit("")))
+    rows = rows.withColumns({"_nodes": nodes, "_first": F.coalesce(F.get(nodes, F.lit(0)), alone)})
+    pairs = rows.where(F.size("_nodes") > 1).select("_first", "_nodes").distinct()
+    edges = pairs.select(F.col("_first").alias("a"), F.explode("_nodes").alias("b"))
+    roots = components(edges).select(F.col("node").alias("_first"), "root")
+    label = F.when(titled, F.col("label_key"))
+    return rows.join(roots, "_first", "left").select(
+        *records.columns,
+        "isrc_key",
+        "label_key",
+        "credit_key",
+        F.coalesce("root", "_first").alias("song"),
+        label.alias("_label"),
+    )
 
 
-def history_merge_linked(records: DataFrame, *, order: str = "position") -> DataFrame:
-    """One row per song and user with the greedy first-seen linkage over ISRC, label and credits.
+def history_merge(records: DataFrame, *, order: str = "position") -> DataFrame:
+    """One row per song and user: sums and firsts, which combine before the shuffle.
 
-    Copies of one key triple collapse first. Triples that share a key, directly or through others,
-    form a component; a component holds the spellings of a song, so it is small however many
-    records a user has, and linking runs once per component.
+    ``song_key`` is the song's first label in text order, else its first ISRC, else its place.
     """
-    rows = with_song_keys(records).withColumn(
-        "triple", F.sha2(F.concat_ws("\u001f", F.coalesce("isrc_key", F.lit("")), "label_key", "credit_key"), 256)
-    )
-    when = F.struct(F.col("shazamed_at").isNull(), F.col("shazamed_at").cast("string"), F.lpad(F.col(order).cast("string"), 20, "0"))
-    triples = cut_lineage(
-        rows.groupBy("user_id", "triple", "isrc_key", "label_key", "credit_key").agg(
-            F.min(when).cast("string").alias("first_order")
-        )
+    rows = with_songs(records, order)
+    named = rows.groupBy("user_id", "song").agg(
+        F.coalesce(F.min("_label"), F.min("isrc_key"), F.first("song")).alias("song_key")
     )
-    keys = [
-        triples.select("user_id", "triple", F.concat(F.lit(f"{n[0]}:"), F.col(n)).alias("key")).where(F.col(n).isNotNull())
-        for n in ("isrc_key", "label_key", "credit_key")
-    ]
-    edges = cut_lineage(reduce(DataFrame.unionByName, keys))
-    part = triples.select("user_id", "triple", F.col("triple").alias("component"))
-    while True:
-        by_key = edges.join(part, ["user_id", "triple"]).groupBy("user_id", "key").agg(F.min("component").alias("low"))
-        lower = edges.join(by_key, ["user_id", "key"]).groupBy("user_id", "triple").agg(F.min("low").alias("low"))
-        after = cut_lineage(
-            part.join(lower, ["user_id", "triple"]).select(
-                "user_id", "triple", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved")
-            )
-        )
-        part = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    linked = triples.join(part, ["user_id", "triple"])
-    user = dict(triples.dtypes)["user_id"]
-    # Only songs spelled more than one way need linking.
-    sizes = part.groupBy("user_id", "component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    several = linked.join(sizes.drop("_n"), ["user_id", "component"], "left_semi")
-    single = linked.join(sizes.drop("_n"), ["user_id", "component"], "left_anti")
-    songs = several.groupBy("user_id", "component").applyInPandas(
-        _greedy, f"user_id {user}, triple string, song string"
-    )
-    songs = songs.unionByName(single.select("user_id", "triple", F.col("triple").alias("song")))
-    return _fold(rows.join(songs, ["user_id", "triple"]), ["user_id", "song"], order).drop("_order")
+    songs = _fold(rows, ["user_id", "song"], order)
+    match = songs["user_id"].eqNullSafe(named["user_id"]) & (songs["song"] == named["song"])
+    return songs.join(named, match).select("song_key", *(songs[c] for c in songs.columns if c not in ("_order", "song")))
+
+
+#: The linked merge is the only one; the name is kept for callers.
+history_merge_linked = history_merge
 
 
 def since_filter(records: DataFrame, moment, *, inclusive: bool = True) -> DataFrame:

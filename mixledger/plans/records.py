@@ -20,7 +20,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         "user_id",
         F.col("event_type").alias("artist"),
         F.concat(F.lit("Song "), F.floor(F.col("value") / 5).cast("string")).alias("title"),
-        F.when(F.col("event_id") % 4 == 0, F.concat_ws("-", F.lit("US"), "event_type", F.floor(F.col("value") / 5).cast("string")))
+        F.when(F.col("event_id") % 4 == 0, F.concat_ws("-", F.lit("US"), "event_type", F.floor(F.col("value") / 10).cast("string")))
         .alias("isrc"),
         F.col("ts").alias("shazamed_at"),
         F.col("event_id").alias("position"),
@@ -30,13 +30,17 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 RECORDS = f"""records as (
   select user_id, event_type as artist, 'Song ' || floor(value / 5)::bigint as title, ts as shazamed_at,
     event_id as position,
-    case when event_id % 4 = 0 then 'US' || event_type || floor(value / 5)::bigint end as isrc,
+    case when event_id % 4 = 0 then 'US' || event_type || floor(value / 10)::bigint end as isrc,
     {norm("event_type")} || '|' || {norm("'Song ' || floor(value / 5)::bigint")} as label
   from events)"""
+# Two labels that share an ISRC are one song, and so are all records of these labels.
 MERGED = RECORDS + """,
-merged as (select user_id, coalesce(isrc, label) as song_key, arg_min(artist, (shazamed_at, position)) as artist,
+codes as (select user_id, isrc, min(label) as song_key from records where isrc is not null group by 1, 2),
+linked as (select user_id, label, min(song_key) as song_key from records join codes using (user_id, isrc) group by 1, 2),
+songs as (select r.*, coalesce(l.song_key, r.label) as song_key from records r left join linked l using (user_id, label)),
+merged as (select user_id, song_key, arg_min(artist, (shazamed_at, position)) as artist,
   arg_min(title, (shazamed_at, position)) as title, min(shazamed_at) as shazamed_at,
-  max(shazamed_at) as last_shazamed_at, count(*) as count from records group by 1, 2)"""
+  max(shazamed_at) as last_shazamed_at, count(*) as count from songs group by 1, 2)"""
 
 
 @query(f"""with {MERGED} select user_id, song_key, artist, title, shazamed_at, last_shazamed_at, count from merged""")
@@ -46,7 +50,7 @@ def history_merge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""with {RECORDS} select user_id, count(distinct label) as songs, count(*) as plays from records group by 1""")
+@query(f"""with {MERGED} select user_id, count(*) as songs, sum(count) as plays from merged group by 1""")
 def history_merge_linked(spark: SparkSession, folder: str) -> DataFrame:
     songs = hist.history_merge_linked(records(spark, folder))
     return songs.groupBy("user_id").agg(F.count(F.lit(1)).alias("songs"), F.sum("count").alias("plays"))
