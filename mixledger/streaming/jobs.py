@@ -36,10 +36,29 @@ def heard_sessions(probes: DataFrame, *, gap: str = "240 seconds", delay: str =
 RUNS = "set_id string, song string, start double, end double, hits long"
 
 
+def _placed(runs: list[list[float]], at: float, bridge: float) -> list[list[float]]:
+    """Open runs [start, last, hits] of one song with one more hit; runs that it connects become one.
+
+    A hit may come late and lie before, inside or between runs: it joins every run within ``bridge``.
+    """
+    near = [r for r in runs if r[0] - bridge <= at <= r[1] + bridge]
+    far = [r for r in runs if r not in near]
+    joined = [min([at, *(r[0] for r in near)]), max([at, *(r[1] for r in near)]), 1 + sum(r[2] for r in near)]
+    return sorted([*far, joined])
+
+
+OPEN = "starts array<double>, lasts array<double>, hits array<bigint>"
+
+
+def _stored(runs: list[list[float]]) -> tuple:
+    return [float(r[0]) for r in runs], [float(r[1]) for r in runs], [int(r[2]) for r in runs]
+
+
 class RunTracker(StatefulProcessor):
-    """The open run of each set: closed by another song, a long gap, or the watermark.
+    """The open runs of a song in a set, closed when the watermark is past their last hit and a gap.
 
-    State holds one run per set, whatever its length.
+    Other songs in between do not end a run, as in the batch rule, so state is kept for each song. It
+    holds the runs of the last ``delay`` and gap, whatever their length.
     """
 
     def __init__(self, bridge: float = BRIDGE_SECONDS, window: float = WINDOW):
@@ -47,45 +66,51 @@ class RunTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "song string, start double, last double, hits long")
+        self.runs = handle.getValueState("runs", OPEN)
+
+    def _open(self) -> list[list[float]]:
+        return [list(r) for r in zip(*self.runs.get())] if self.runs.exists() else []
 
-    def _closed(self, key, run) -> pd.DataFrame:
-        song, start, last, hits = run
-        return pd.DataFrame({"set_id": [key[0]], "song": [song], "start": [start], "end": [last + self.window], "hits": [hits]})
+    def _keep(self, runs: list[list[float]]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if runs:
+            self.runs.update(_stored(runs))
+            self.handle.registerTimer(int((min(r[1] for r in runs) + self.bridge) * 1000))
+        else:
+            self.runs.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = self.run.get() if self.run.exists() else None
-        batch = pd.concat(list(rows)).sort_values("at")
-        for row in batch.itertuples():
-            if row.song is None or row.song != row.song:
-                continue
-            if run and run[0] == row.song and row.at - run[2] <= self.bridge:
-                run = (run[0], run[1], max(run[2], row.at), run[3] + 1)
-                continue
-            if run:
-                yield self._closed(key, run)
-            run = (row.song, row.at, row.at, 1)
-        if run:
-            self.run.update(run)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((run[2] + self.bridge) * 1000))
+        runs = self._open()
+        for at in pd.concat(list(rows))["at"].dropna().sort_values():
+            runs = _placed(runs, float(at), self.bridge)
+        self._keep(runs)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.run.exists():
-            yield self._closed(key, self.run.get())
-            self.run.clear()
+        due = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        runs = self._open()
+        closed = [r for r in runs if r[1] + self.bridge <= due]
+        self._keep([r for r in runs if r[1] + self.bridge > due])
+        if closed:
+            yield _runs_of(key, closed, self.window)
 
     def close(self) -> None:
         pass
 
 
+def _runs_of(key: tuple, closed: list[list[float]], window: float) -> pd.DataFrame:
+    rows = [(key[0], key[1], float(r[0]), float(r[1]) + window, int(r[2])) for r in closed]
+    return pd.DataFrame(rows, columns=["set_id", "song", "start", "end", "hits"])
+
+
 def closed_runs(probes: DataFrame, *, delay: str = "10 minutes", bridge: float = BRIDGE_SECONDS, window: float = WINDOW) -> DataFrame:
     """Runs of one song per set, each once it is over. probes[set_id, song, at, ts]; ``ts`` is the
     event time of ``at`` (seconds of the epoch)."""
     return (
-        probes.withWatermark("ts", delay)
-        .groupBy("set_id")
+        probes.where(F.col("song").isNotNull())
+        .withWatermark("ts", delay)
+        .groupBy("set_id", "song")
         .transformWithStateInPandas(
             statefulProcessor=RunTracker(bridge, window), outputStructType=RUNS, outputMode="Append", timeMode="EventTime", eventTimeColumnName=""
         )
@@ -94,38 +119,30 @@ def closed_runs(probes: DataFrame, *, delay: str = "10 minutes", bridge: float =
 
 def _open_runs(bridge: float, window: float):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed = []
-        run = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            closed.append((key[0], run[0], run[1], run[2] + window, run[3]))
+        runs = [list(r) for r in zip(*state.get)] if state.exists else []
+        for at in [] if state.hasTimedOut else pd.concat(list(batches))["at"].dropna().sort_values():
+            runs = _placed(runs, float(at), bridge)
+        seen = state.getCurrentWatermarkMs() / 1000
+        closed = [r for r in runs if state.hasTimedOut and r[1] + bridge <= seen]
+        left = [r for r in runs if r not in closed]
+        if left:
+            state.update(_stored(left))
+            due = int((min(r[1] for r in left) + bridge) * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            # A late window may land between earlier ones: a micro-batch is put in order first.
-            rows = pd.concat(list(batches))[["at", "song"]].dropna().sort_values("at")
-            for at, song in rows.itertuples(index=False):
-                if run and run[0] == song and at - run[2] <= bridge:
-                    run[2], run[3] = max(run[2], at), run[3] + 1
-                else:
-                    if run:
-                        closed.append((key[0], run[0], run[1], run[2] + window, run[3]))
-                    run = [song, float(at), float(at), 1]
-            if run:
-                state.update(tuple(run))
-                due = int((run[2] + bridge) * 1000)
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=["set_id", "song", "start", "end", "hits"])
+        yield _runs_of(key, closed, window)
 
     return step
 
 
 def live_runs(probes: DataFrame, *, delay: str = "10 minutes", bridge: float = BRIDGE_SECONDS, window: float = WINDOW) -> DataFrame:
-    """``closed_runs`` for state stores without timers of their own: one state row per set."""
+    """``closed_runs`` for state stores without timers of their own: one state row per song of a set."""
     return (
-        probes.withWatermark("ts", delay)
-        .groupBy("set_id")
-        .applyInPandasWithState(
-            _open_runs(bridge, window), RUNS, "song string, start double, last double, hits long", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        probes.where(F.col("song").isNotNull())
+        .withWatermark("ts", delay)
+        .groupBy("set_id", "song")
+        .applyInPandasWithState(_open_runs(bridge, window), RUNS, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -184,9 +201,13 @@ def recheck_items(additions: DataFrame, items: DataFrame) -> DataFrame:
     return additions.join(waiting, "label_key").select("list_id", "item_id", "label_key", "recording_id")
 
 
-def import_new(records: DataFrame, path: str, checkpoint: str, *, delay: str = "1 day"):
-    """Append each listening record once, remembered by the watermark; returns the query."""
-    fresh = records.withWatermark("shazamed_at", delay).dropDuplicatesWithinWatermark(["user_id", "title", "artist", "shazamed_at"])
+def import_new(records: DataFrame, path: str, checkpoint: str):
+    """Append each listening record once, however late it comes; returns the query.
+
+    What was imported is remembered for every record, in state keyed by user and record: a mark of time
+    would lose what one device delivers days after another.
+    """
+    fresh = records.dropDuplicates(["user_id", "title", "artist", "shazamed_at"])
     return (
         fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).outputMode("append").start()
