@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists", "timeline", "records", "texts", "sets", "upkeep"]
+MODULES = ["lists", "timeline", "records", "texts", "sets", "upkeep", "reads"]
 
 
 def _load() -> None:
