@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints of a block.
 CHECKPOINT_IDS = 128
 #: Pieces of text whose ids a worker remembers, and bytes of text that it takes at once.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 900_000
 BATCH_BYTES = 1 << 20
 
 # ------------------------------------------------------------------------------- tokenization
@@ -33,6 +34,7 @@ BATCH_BYTES = 1 << 20
 _ODD_SPACE = re.compile(r"\s\s")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ID = attrgetter("id")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,6 +61,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.limit = limit
         self.after: dict[str, int] = {}  # pieces that follow a space, without it
         self.plain: dict[str, int] = {}  # pieces that do not
@@ -68,8 +71,11 @@ class PieceEncoder:
         self.used = self.known = 0
 
     def _word(self, text: str) -> list[int]:
-        written = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(written)]
+        if not text.isascii():
+            text = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        elif text[0] == " ":  # ASCII letters are written as they are
+            text = self.space + text[1:]
+        return list(map(_ID, self.model.tokenize(text)))
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -78,22 +84,31 @@ class PieceEncoder:
             out += [e.ids for e in part]
         return out
 
-    def _learn(self, pieces: list[str], space: str) -> list[list[int]]:
+    def _learn(self, into: dict[str, int], pieces: list[str], space: str) -> list[list[int]]:
         """Ids of pieces that follow ``space``."""
-        heads: list[list[int] | None] = []
+        out: list[list[int]] = []
         rests: dict[str, list[int]] = {}
-        cut: list[tuple[int, str]] = []
-        match = _LETTERS.match
+        mixed: list[tuple[int, str]] = []
+        word, match = self._word, _LETTERS.match
         for piece in pieces:
+            if piece.isalpha():
+                out.append(word(space + piece))
+                continue
             found = match(piece)
-            size = found.end() if found and found[0].isalpha() else 0
-            heads.append(self._word(space + piece[:size]) if size else None)
-            rest = piece[size:] if size else space + piece
-            cut.append((size, rest))
-            if rest:
-                rests.setdefault(rest, [])
+            head = found[0] if found and found[0].isalpha() else ""
+            at = into.get(head) if head else None
+            if at is not None:  # known without what follows it
+                ids = self.ids[self.first[at] : self.first[at] + self.count[at]].tolist()
+            else:
+                ids = word(space + head) if head else []
+            rest = piece[len(head) :] if head else space + piece
+            mixed.append((len(out), rest))
+            rests.setdefault(rest, [])
+            out.append(ids)
         rests = dict(zip(rests, self._library(list(rests))))
-        return [(h or []) + (rests[rest] if rest else []) for h, (_, rest) in zip(heads, cut)]
+        for k, rest in mixed:
+            out[k] = out[k] + rests[rest]
+        return out
 
     def _add(self, into: dict[str, int], pieces: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -115,7 +130,7 @@ class PieceEncoder:
         missing = np.flatnonzero(where < 0).tolist()
         new = list(dict.fromkeys(pieces[i] for i in missing))
         if new:
-            self._add(into, new, self._learn(new, space))
+            self._add(into, new, self._learn(into, new, space))
             where[missing] = [into[pieces[i]] for i in missing]
         return where, new
 
@@ -208,12 +223,22 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
+
+        def add(parts: list[np.ndarray]) -> None:
+            nonlocal total
+            found = np.bincount(np.concatenate(parts), minlength=len(total))
+            total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)]) + found
+
         for batch in batches:
+            parts, held = [], 0
             for n, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(raw.as_py(), n)
-                if int(ids.max()) >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids.max()) + 1 - len(total), np.int64)])
-                total += np.bincount(ids, minlength=len(total))
+                parts.append(ids_of(raw.as_py(), n))
+                held += n
+                if held >= 1 << 20:
+                    add(parts)
+                    parts, held = [], 0
+            if parts:
+                add(parts)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -272,8 +297,7 @@ class Code:
         words = int(end[-1] + 31 >> 5)
         wide = self.left[ids] << np.uint64(64 - self.limit) >> (at & 31).astype(np.uint64)
         # Every word of 32 bits holds the start of a code, as no code is that long.
-        first = np.searchsorted(at, np.arange(words) * 32)
-        first = first[first < len(at)]
+        first = np.flatnonzero(np.diff(at >> 5, prepend=-1))
         high = np.add.reduceat(wide >> np.uint64(32), first)
         low = np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
         out = np.zeros(words + 1, np.uint64)
