@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut_lineage
 from .common import lower_words, table
-from .graph import components
 
 SHINGLE_WORDS = 3
 SEED = 42

@@ -4,7 +4,7 @@ import random
 import xxhash
 
 from mixledger.llm import simhash
-from mixledger.llm.graph import components
+from mixledger.operators.graph import components
 
 
 def slow_fingerprint(text):
