@@ -131,6 +131,40 @@ def test_history(spark):
     assert sorted((r.title, r["count"], r.isrc) for r in songs) == [("T", 3, "US-1"), ("Z", 1, None)]
 
 
+def test_history_without_titles(spark):
+    schema = "user_id string, artist string, title string, isrc string, shazamed_at timestamp, position int"
+    rows = [("u", None, None, f"US-{i}", None, i) for i in range(3)] + [("u", "", " ", None, None, 3), ("u", "", "", None, None, 4)]
+    rows += [("u", "A", "One", "X1", None, 5), ("u", "B", "Two", "X1", None, 6), ("u", "B", "Two", "X2", None, 7), ("u", "C", "Six", "X2", None, 8)]
+    songs = history.history_merge(spark.createDataFrame(rows, schema)).collect()
+    # Untitled records stay apart; a chain of codes and labels is one song.
+    assert sorted(r["count"] for r in songs) == [1, 1, 1, 1, 1, 4]
+
+
+def test_ranking_knows_other_names(spark):
+    req = [("plain", "Ann & Bob", "Halo", ""), ("mix", "Ann", "Halo (Foo Remix)", ""), ("label", "Ann", "Halo", "")]
+    titles = ["Ann - Halo", "Ann - Halo (Foo RMX)", "Ann - Halo (Unplugged)", "Halo"]
+    entries = [
+        (r, f"{r}{i}", "soundcloud", t, "someone", 200.0, 10, ["Ann"] if i == 3 else None)
+        for r, *_ in req for i, t in enumerate(titles)
+    ]
+    schema = "request_id string, url string, provider string, title string, uploader string, duration double, view_count long, artists array<string>"
+    asked = spark.createDataFrame(req, "request_id string, artist string, title string, version string")
+    got = {r.url: r for r in ranking.rank_sources(asked, spark.createDataFrame(entries, schema)).collect()}
+    assert [got[f"plain{i}"].other_version for i in range(4)] == [False, True, True, False]
+    assert got["plain0"].missing and "credited artist missing" in got["plain0"].reasons
+    assert set(got) & {f"mix{i}" for i in range(4)} == {"mix1"} and not got["mix1"].other_version
+    assert not got["label3"].missing and "remix not requested" in got["label1"].reasons
+
+
+def test_long_dj_names_match(spark):
+    page = (1, "2013-09-27 - One Two Three Four Five Six @ Boiler Room Detroit", "== File details ==\n{|\n| 1:02:00\n|}")
+    facts, _ = wiki.parse_wiki_pages(spark.createDataFrame([page], "pageid long, title string, wikitext string"))
+    uploads = spark.createDataFrame(
+        [("v", "One Two Three Four Five Six Boiler Room Detroit", "x", 3720.0, None)], "set_id string, title string, uploader string, duration double, url string"
+    )
+    assert [(r.set_id, r.by) for r in wiki.match_pages(uploads, facts).collect()] == [("v", "title")]
+
+
 def test_ranking(spark):
     req = spark.createDataFrame([("r", "Bicep", "Glue", "")], "request_id string, artist string, title string, version string")
     schema = "request_id string, url string, provider string, title string, uploader string, duration double, view_count long"
