@@ -174,10 +174,13 @@ def url_keys(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", urls.url_key("url").alias("url_key"), urls.evidence_url("url").alias("secure"))
 
 
-@query(r"""with l as (select page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, 'https?://[^\s<>"'']+'),
+@query(r"""with l as (select page_id, unnest(list_distinct(list_transform(regexp_extract_all(url || '), then ' || url || '/more. ' ||
+    replace(html, 'href="/', 'href="https://a.example/'), 'https?://[^\s<>"'']+'),
     lambda x: regexp_replace(x, '[.,;:!?)\]]+$', '')))) as link from pages) select page_id, link from l""")
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    return views.table(spark, folder, "pages").select("page_id", F.explode(urls.links_in("html")).alias("link"))
+    linked = F.replace("html", F.lit('href="/'), F.lit('href="https://a.example/'))
+    text = F.concat("url", F.lit("), then "), "url", F.lit("/more. "), linked)
+    return views.table(spark, folder, "pages").select("page_id", F.explode(urls.links_in(text)).alias("link"))
 
 
 def device(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
