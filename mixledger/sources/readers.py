@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,37 +217,58 @@ def read_native_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     )
 
 
-# Page layout of a device library.
-PAGE_HEADER, ROW_GROUP, ROW_COUNT_MASK = 0x28, 0x24, 0x1FFF
+# Layout of a device library. Offsets of a page's table, next page, row count and flags,
+# of its first row, and of the row groups that fill it from its end.
+PAGE_SIZES = (4096, 8192, 16384)
+LIST_AT, LIST_WORDS = 28, 4
+KIND_WORD, NEXT_WORD = 2, 3
+ROWS_AT, ROW_COUNT_MASK, FLAGS_AT, NOT_DATA = 0x18, 0x1FFF, 0x1B, 0x40
+PAGE_HEADER, ROW_GROUP, GROUP_ROWS = 0x28, 0x24, 16
 TABLES = {0: "tracks", 2: "artists", 5: "keys", 7: "playlist_tree", 8: "playlist_entries"}
+UNREADABLE = "unreadable"
 
 
-def _device_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Present rows of the tables above as (path, table, row bytes), file by file."""
+def _in_order(first: int, last: int, following: np.ndarray) -> list[int]:
+    """Page numbers of one table, from its first to its last page; a loop ends it."""
+    order: dict[int, None] = {}
+    while first < len(following) and first not in order:
+        order[first] = None
+        if first == last:
+            break
+        first = int(following[first])
+    return list(order)
+
+
+def _device_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, table, page bytes) for the pages of the tables above; a file of another layout is one row."""
     for batch in batches:
+        found = []
         for path, data in zip(batch["path"], batch["content"]):
-            found = []
-            size, count = struct.unpack_from("<II", data, 4) if len(data) >= 28 else (0, 0)
-            if size not in (4096, 8192, 16384) or not 0 < count < 64:
+            size, count = np.frombuffer(data[4:12], "<u4").tolist() if len(data) >= LIST_AT else (0, 0)
+            if size not in PAGE_SIZES or len(data) < size or not 0 < count <= (size - LIST_AT) // (4 * LIST_WORDS):
+                found.append((path, UNREADABLE, None))
                 continue
-            for i in range(count):
-                kind, _, page, last = struct.unpack_from("<IIII", data, 28 + 16 * i)
-                visited: set[int] = set()
-                while kind in TABLES and page not in visited and (page + 1) * size <= len(data):
-                    visited.add(page)
-                    block = data[page * size : (page + 1) * size]
-                    of_kind, following = struct.unpack_from("<II", block, 8)
-                    rows = struct.unpack_from("<I", block, 0x18)[0] & ROW_COUNT_MASK
-                    for slot in range(rows if of_kind == kind and not block[0x1B] & 0x40 else 0):
-                        group, bit = divmod(slot, 16)
-                        foot = size - group * ROW_GROUP
-                        if struct.unpack_from("<H", block, foot - 4)[0] >> bit & 1:
-                            start = struct.unpack_from("<H", block, foot - 6 - 2 * bit)[0] + PAGE_HEADER
-                            found.append((path, TABLES[kind], block[start:]))
-                    if page == last:
-                        break
-                    page = following
-            yield pd.DataFrame(found, columns=["path", "table", "row"])
+            pages = np.frombuffer(data[: len(data) // size * size], "<u4").reshape(-1, size // 4)
+            listed = pages[0, LIST_AT // 4 : LIST_AT // 4 + LIST_WORDS * count].reshape(count, LIST_WORDS)
+            for kind, _, first, last in listed.tolist():
+                if kind in TABLES:
+                    mine = [p for p in _in_order(first, last, pages[:, NEXT_WORD]) if pages[p, KIND_WORD] == kind]
+                    found += [(path, TABLES[kind], pages[p].tobytes()) for p in mine]
+        yield pd.DataFrame(found, columns=["path", "table", "page"])
+
+
+def _page_rows(pages: DataFrame) -> DataFrame:
+    """(path, table, row): the present rows of pages, cut out by column expressions."""
+    page, size = F.col("page"), F.length("page")
+    data = (_uint(page, FLAGS_AT, 1).bitwiseAND(F.lit(NOT_DATA)) == 0) & (F.col("table") != UNREADABLE)
+    rows = _uint(page, ROWS_AT, 4).bitwiseAND(F.lit(ROW_COUNT_MASK))
+    slots = pages.where(data & (rows > 0)).withColumn("slot", F.explode(F.sequence(F.lit(0), (rows - 1).cast("int"))))
+    group, bit = F.floor(F.col("slot") / GROUP_ROWS).cast("int"), F.col("slot") % GROUP_ROWS
+    foot = size - group * ROW_GROUP
+    present = F.expr(f"getbit(_here, slot % {GROUP_ROWS}) = 1")
+    start = _uint(page, foot - 6 - bit * 2, 2) + PAGE_HEADER
+    marked = slots.withColumns({"_here": _uint(page, foot - 4, 2), "_start": start.cast("int")})
+    return marked.where(present).select("path", "table", F.substring("page", F.col("_start") + 1, F.length("page")).alias("row"))
 
 
 def _uint(row: Column, offset: Column | int, size: int) -> Column:
@@ -274,10 +296,12 @@ def _text(row: Column, offset: Column) -> Column:
 def read_device_library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """keys, artists, tracks, playlist_tree and playlist_entries of device databases under ``path``.
 
-    Python only walks the page chains; every field is decoded by column expressions.
+    Python only puts the pages of each file in order; rows and fields are cut out by column
+    expressions. ``unreadable`` names the files with another layout.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdb").load(path)
-    rows = files.select("path", "content").mapInPandas(_device_rows, "path string, table string, row binary")
+    pages = files.select("path", "content").mapInPandas(_device_pages, "path string, table string, page binary")
+    rows = _page_rows(pages)
     r = F.col("row")
     of = lambda table: rows.where(F.col("table") == table)
     keys = of("keys").select("path", _uint(r, 0, 4).alias("key_id"), _text(r, F.lit(8)).alias("key"))
@@ -305,7 +329,14 @@ def read_device_library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     entries = of("playlist_entries").select(
         "path", _uint(r, 8, 4).alias("playlist_id"), _uint(r, 0, 4).alias("position"), _uint(r, 4, 4).alias("track_id")
     )
-    return {"keys": keys, "artists": artists, "tracks": tracks, "playlist_tree": tree, "playlist_entries": entries}
+    return {
+        "keys": keys,
+        "artists": artists,
+        "tracks": tracks,
+        "playlist_tree": tree,
+        "playlist_entries": entries,
+        "unreadable": pages.where(F.col("table") == UNREADABLE).select("path"),
+    }
 
 
 def _analysis_tags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,12 +358,15 @@ def _analysis_tags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tempo_list(bodies: pd.Series, headers: pd.Series) -> pd.Series:
-    out = []
-    for body, header in zip(bodies, headers):
-        count = int.from_bytes(body[20:24], "big")
-        beats = [int.from_bytes(body[header + 8 * i + 2 : header + 8 * i + 4], "big") / 100 for i in range(count) if header + 8 * i + 4 <= len(body)]
-        out.append(beats)
-    return pd.Series(out)
+    """Tempos of beat grids: the second of the four big-endian numbers of each eight-byte beat."""
+
+    def tempos(body: bytes, header: int) -> list[float]:
+        beats = min(int.from_bytes(body[20:24], "big"), max(0, len(body) - header) // 8)
+        if not beats:
+            return []
+        return (np.frombuffer(body, ">u2", beats * 4, header).reshape(beats, 4)[:, 1] / 100).tolist()
+
+    return pd.Series([tempos(b, h) for b, h in zip(bodies, headers)])
 
 
 def read_analysis_files(spark: SparkSession, path: str) -> DataFrame:

@@ -151,7 +151,9 @@ def test_device_library(spark, tmp_path):
         }
     )
     (tmp_path / "export.pdb").write_bytes(data)
+    (tmp_path / "other.pdb").write_bytes(b"not a library at all" * 9)
     lib = readers.read_device_library(spark, str(tmp_path))
+    assert [r.path.rpartition("/")[2] for r in lib["unreadable"].collect()] == ["other.pdb"]
     r = lib["tracks"].first()
     assert (r.id, r.file_size, r.bpm, r.key, r.artist, r.file_path) == (77, 1234, 128.0, "8A", "Bicep", "/Contents/a.mp3")
     assert lib["playlist_tree"].first().name == "Friday"
