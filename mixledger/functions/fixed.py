@@ -41,3 +41,16 @@ BPM_TAGS = ["tbpm", "bpm", "tempo", "tmpo", "txxx:bpm", "----:com.apple.itunes:b
 KEY_TAGS = ["tkey", "initialkey", "key", "txxx:initialkey", "----:com.apple.itunes:initialkey"]
 GENRE_TAGS = ["tcon", "genre", "©gen"]
 COMMENT_TAGS = ["comm", "comment", "description", "©cmt"]
+
+# Phrases of whole sets, venues, and what follows an uploader's name.
+SET_PHRASES = [
+    "boiler room", "live set", "essential mix", "tiny desk", "full set", "dj set",
+    "full concert", "full album", "full show", "full mix",
+]
+VENUES = (
+    "osheaga|coachella|glastonbury|tomorrowland|lollapalooza|primavera|sonar|dekmantel|"
+    "awakenings|creamfields|bonnaroo|roskilde|pukkelpop|werchter|fuji rock|outside lands|"
+    "parklife|letterman|fallon|kimmel|jools holland|kexp|live lounge|maida vale|cercle|"
+    "colors show|audiotree|festival|concert|session|sessions"
+).split("|")
+UPLOADER_SUFFIX = r"(?:\s+(?:topic|vevo|official|music|tv|channel))+$"

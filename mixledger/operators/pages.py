@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.clock import clock
 from ..functions.steps import bind
 from ..functions.text import accent_fold, words_of
@@ -45,16 +46,6 @@ X_JOIN = r"(?i)\S\s+[x×]\s+\S"
 SENTENCE_MARK = r"[.!?](?:\s|$)"
 ABBREVIATION = r"(?i)\b(?:feat|ft|vs|vol|pt|no|op|mr|mrs|ms|dr|st|jr|sr)\."
 QUOTED = r"^[\"“”‘’'](.+)[\"“”‘’']$"
-UPLOADER_SUFFIX = r"(?:\s+(?:topic|vevo|official|music|tv|channel))+$"
-SET_PHRASES = [
-    "boiler room", "live set", "essential mix", "tiny desk", "full set", "dj set",
-    "full concert", "full album", "full show", "full mix",
-]
-VENUES = (
-    "osheaga|coachella|glastonbury|tomorrowland|lollapalooza|primavera|sonar|dekmantel|awakenings|creamfields|"
-    "bonnaroo|roskilde|pukkelpop|werchter|fuji rock|outside lands|parklife|letterman|fallon|kimmel|jools holland|"
-    "kexp|live lounge|maida vale|cercle|colors show|audiotree|festival|concert|session|sessions"
-).split("|")
 PROSE_WORDS = 30
 RESTATED_WORDS = 6
 FEW_SONGS = 3
@@ -120,13 +111,13 @@ def set_line_filter(pages: DataFrame) -> DataFrame:
         title_words=fold(F.col("_right")),
         left_words=fold(F.col("_left")),
         heading_words=fold(F.regexp_replace("heading", BRACKETED, " ")),
-        host=F.regexp_replace(fold(F.coalesce("uploader", F.lit(""))), UPLOADER_SUFFIX, ""),
+        host=F.regexp_replace(fold(F.coalesce("uploader", F.lit(""))), fixed.UPLOADER_SUFFIX, ""),
     )
     size = lambda c: F.size(F.split(c, " "))
     short = F.when(size(F.col("words")) <= size(F.col("heading_words")), F.col("words")).otherwise(F.col("heading_words"))
     long = F.when(size(F.col("words")) <= size(F.col("heading_words")), F.col("heading_words")).otherwise(F.col("words"))
     restates = (size(short) >= RESTATED_WORDS) & (F.startswith(long, short) | F.endswith(long, short))
-    venue = F.col("words").rlike(_one_of(VENUES))
+    venue = F.col("words").rlike(_one_of(fixed.VENUES))
     has_host = (F.col("host") != "") & F.contains(
         F.concat(F.lit(" "), "title_words", F.lit(" ")), F.concat(F.lit(" "), "host", F.lit(" "))
     )
@@ -134,10 +125,10 @@ def set_line_filter(pages: DataFrame) -> DataFrame:
     title = F.col("_right")
     about = (
         restates
-        | F.col("words").rlike(_one_of(SET_PHRASES))
+        | F.col("words").rlike(_one_of(fixed.SET_PHRASES))
         | (pair & (title.rlike(PERFORMED) | title.rlike(DATE)))
         | (pair & title.rlike(LIVE_AT) & (venue | title.rlike(YEAR) | title.rlike(X_JOIN) | has_host))
-        | (pair & title.rlike(YEAR) & F.col("title_words").rlike(r"^(?:" + "|".join(VENUES) + r")(?: |$)"))
+        | (pair & title.rlike(YEAR) & F.col("title_words").rlike(r"^(?:" + "|".join(fixed.VENUES) + r")(?: |$)"))
     )
     said = F.regexp_extract(F.trim(F.get(F.split("plain", SEPARATOR, 2), F.lit(0))), QUOTED, 1)
     spoken = F.regexp_replace(said, ABBREVIATION, "")
@@ -149,7 +140,7 @@ def set_line_filter(pages: DataFrame) -> DataFrame:
     rows = bind(
         rows,
         hosted=(F.col("host") != "") & pair & venue & (same(F.col("left_words")) | same(F.col("title_words"))),
-        show=F.col("host").isin(VENUES),
+        show=F.col("host").isin(fixed.VENUES),
         song=pair & ~F.col("_left").rlike(UNKNOWN) & ~F.col("_right").rlike(UNKNOWN),
     )
     # In a timed description, lines without a time are the set's own credits.

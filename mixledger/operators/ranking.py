@@ -38,12 +38,6 @@ VERSION_PHRASES = {
     "unplugged": "live", "a cappella": "acapella", "sped up": "sped up", "speed up": "sped up", "mash up": "mashup", "lyric": "lyrics",
 }
 ALIASES = {"rmx": "remix", "remixed": "remix", "remixes": "remix", "acappella": "acapella", "accapella": "acapella"}
-VENUES = (
-    "osheaga|coachella|glastonbury|tomorrowland|lollapalooza|primavera|sonar|dekmantel|"
-    "awakenings|creamfields|bonnaroo|roskilde|pukkelpop|werchter|fuji rock|outside lands|"
-    "parklife|letterman|fallon|kimmel|jools holland|kexp|live lounge|maida vale|cercle|"
-    "colors show|audiotree|festival|concert|session|sessions"
-).split("|")
 MIX_PHRASES = ["dj mix", "mixtape", "megamix", "continuous mix", "mixed by", "b2b"]
 REASONS = {
     "live": "live recording", "venue": "festival or venue upload", "mashup": "mashup", "medley": "medley", "mix": "different mix",
@@ -53,12 +47,7 @@ DATED_BRACKET = r"[\(\[][^\)\]]*\b(?:19|20)\d{2}\b[^\)\]]*[\)\]]"
 NOT_VENUE = r"(?i)remaster|version|edition|mix|edit|anniversary|reissue|demo"
 X_JOIN = r"(?i)\S\s+[x×]\s+\S"
 TWO_SONGS = r"\S\s*/\s*\S"
-SET_PHRASES = [
-    "boiler room", "live set", "essential mix", "tiny desk", "full set", "dj set",
-    "full concert", "full album", "full show", "full mix",
-]
 LABEL_WORDS = ["records", "recordings", "recs", "label"]
-UPLOADER_SUFFIX = r"(?:\s+(?:topic|vevo|official|music|tv|channel))+$"
 AUDIO = r"(?i)[\(\[]\s*(?:official\s+)?audio\s*[\)\]]|\bofficial\s+audio\b"
 VIDEO = r"(?i)\b(?:official\s+)?(?:music\s+)?video\b"
 
@@ -100,7 +89,7 @@ def _markers(padded: Column, title: Column) -> Column:
     parts = F.split(title, SEPARATOR, 2)
     song = F.coalesce(F.get(parts, F.lit(1)), title)
     seen = {
-        "venue": (title.rlike(DATED_BRACKET) & ~title.rlike(NOT_VENUE)) | _any(text, VENUES),
+        "venue": (title.rlike(DATED_BRACKET) & ~title.rlike(NOT_VENUE)) | _any(text, fixed.VENUES),
         "mashup": song.rlike(X_JOIN),
         "medley": base_title(F.regexp_replace(song, fixed.FEATURED, "")).rlike(TWO_SONGS),
     }
@@ -163,7 +152,7 @@ def wanted(requests: DataFrame) -> DataFrame:
         "_need",
         _markers(F.col("_text"), F.coalesce(asked, F.lit(""))).alias("_asked"),
         F.col("_text").alias("_request"),
-        _any(F.col("_text"), [*SET_PHRASES, *MIX_PHRASES]).alias("_is_mix"),
+        _any(F.col("_text"), [*fixed.SET_PHRASES, *MIX_PHRASES]).alias("_is_mix"),
     )
 
 
@@ -181,7 +170,7 @@ def assess(requests: DataFrame, entries: DataFrame) -> DataFrame:
         _u=folded_words(F.col("uploader")),
         _c=_padded(_known(folded_words(credits))),
     )
-    core = F.regexp_replace(F.array_join("_u", " "), UPLOADER_SUFFIX, "")
+    core = F.regexp_replace(F.array_join("_u", " "), fixed.UPLOADER_SUFFIX, "")
     bare = F.trim(F.regexp_replace(core, r"vevo$", ""))
     found = bind(
         found,
@@ -192,7 +181,7 @@ def assess(requests: DataFrame, entries: DataFrame) -> DataFrame:
     )
     rows = found.join(wanted(requests), "request_id")
     words = F.split(F.trim("_both"), " ")
-    phrases = F.array(*(F.lit(p) for p in SET_PHRASES))
+    phrases = F.array(*(F.lit(p) for p in fixed.SET_PHRASES))
     is_set = F.exists(phrases, lambda p: _within(F.col("_title_text"), p) & ~_within(F.col("_request"), p))
     long = F.coalesce(F.col("duration") > MAX_TRACK_SECONDS, F.lit(False))
     fits = (

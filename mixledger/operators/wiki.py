@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.clock import dates, same_day
 from ..functions.steps import bind
 from ..functions.text import accent_fold, words_of
@@ -56,7 +57,7 @@ NAME_SPLIT = (
 )
 LEAD_END = r"(?i)\s*(?:[|｜/@:–—(\[]|\s-\s|\b(?:live|at|for|in|dj set)\b)\s*"
 PAGE_DATE = r"(?i)^(\d{4})(?:-[\dX?]{2}){0,2}\s+-\s+"
-UPLOADER_SUFFIX = r"(?i)(?:\s+(?:topic|vevo|official|music|tv|channel))+$"
+UPLOADER_SUFFIX = "(?i)" + fixed.UPLOADER_SUFFIX
 
 
 def near(duration: Column, length: Column) -> Column:
