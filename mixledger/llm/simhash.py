@@ -20,11 +20,8 @@ MAX_DISTANCE = 2
 QUARTER_BITS = 16
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The signed 64-bit SimHash of a text; no words: 0."""
-    words = lower_words(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """The 64-bit hash of every shingle of a text that has words; a short text is one shingle."""
     joined = b" ".join(words)
     n = max(1, len(words) - shingle_words + 1)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -32,7 +29,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
     starts = (ends - sizes)[:n].tolist()
     stops = (ends[min(shingle_words, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], "<u8")
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The signed 64-bit SimHash of a text; no words: 0."""
+    words = lower_words(text)
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, shingle_words, seed)
+    n = len(hashes)
     bits = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         piece = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
