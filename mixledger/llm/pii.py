@@ -204,9 +204,35 @@ FORMATS: list[tuple[str, re.Pattern, Callable[[bytes, re.Match], str | None]]] =
     ("phone", re.compile(r"(?<![\w+.-])()(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w-])"), _phone),
 ]
 KINDS = list(dict.fromkeys(kind for kind, _, _ in FORMATS))
+#: Kinds whose match can take in neighbours, with the pattern for a part of such a match.
+_PARTS = {"iban": FORMATS[2][1], "card": re.compile(r"\d(?:[ -]?\d){12,18}(?![\w-])")}
+_BORDER = re.compile(r"[ -]")
 _ANY = re.compile(r"[0-9@=:]")
 
 
+def _readings(kind: str, m: re.Match) -> Iterator[re.Match]:
+    """The match, its shorter prefixes that end at a group border, then the same from every later border.
+
+    A greedy match takes in groups before or behind the value (a security code, an expiry, a year), which
+    fails its check. Parts of a card number are read only in groups of three digits or more, as cards are
+    printed, so dates in a row are not cut up.
+    """
+    yield m
+    if kind not in _PARTS:
+        return
+    text, part = m.string, _PARTS[kind]
+    borders = [m.start() + b.start() for b in _BORDER.finditer(m[0])]
+    for start in [m.start(), *[b + 1 for b in borders]]:
+        longest = m if start == m.start() else part.match(text, start)
+        if longest is None:
+            continue
+        ends = [b.start() for b in _BORDER.finditer(text, start, longest.end())]
+        for end in [*([longest.end()] if longest is not m else []), *reversed(ends)]:
+            found = part.fullmatch(text, start, end)
+            if found and (kind != "card" or min(map(len, _BORDER.split(found[0]))) >= 3):
+                yield found
+
+
 def pseudonymize(key: bytes, text: str) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind there were."""
     counts: dict[str, int] = {}
@@ -214,13 +240,18 @@ def pseudonymize(key: bytes, text: str) -> tuple[str, dict[str, int]]:
         return text, counts
     taken: list[tuple[int, int, str]] = []
     for kind, pattern, make in FORMATS:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            new = make(key, m)
-            if new is not None:
-                taken.append((m.start(), m.end(), new))
-                counts[kind] = counts.get(kind, 0) + 1
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            for found in _readings(kind, m):
+                if any(a < found.end() and found.start() < b for a, b, _ in taken):
+                    continue
+                new = make(key, found)
+                if new is not None:
+                    taken.append((found.start(), found.end(), new))
+                    counts[kind] = counts.get(kind, 0) + 1
+                    at = found.end()
+                    break
     if not taken:
         return text, counts
     out, last = [], 0

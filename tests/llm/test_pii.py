@@ -61,6 +61,35 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymize(KEY, text) == (text, {})
 
 
+BESIDE = [
+    ("card", "", "4111 1111 1111 1111", " 123"),
+    ("card", "", "4111-1111-1111-1111", "-123"),
+    ("card", "", "4111111111111111", " 12/27"),
+    ("card", "", "4111111111111111", " 123"),
+    ("card", "1234567 ", "4111 1111 1111 1111", ""),
+    ("card", "123-", "4111-1111-1111-1111", ""),
+    ("card", "", "3782 822463 10005", " 1234"),
+    ("iban", "", "BE68 5390 0754 7034", " 2024"),
+    ("iban", "", "BE68 5390 0754 7034", " USED CARS"),
+    ("iban", "", "BE68539007547034", " 2024"),
+    ("iban", "AB13 ", "BE68 5390 0754 7034", " 20"),
+]
+
+
+@pytest.mark.parametrize("kind,before,value,after", BESIDE)
+def test_neighbours_do_not_hide_a_value(kind, before, value, after):
+    new, counts = pii.pseudonymize(KEY, f"so {before}{value}{after}.")
+    alone = pii.pseudonymize(KEY, value)[0]
+    assert counts == {kind: 1} and alone != value and new == f"so {before}{alone}{after}."
+
+
+def test_a_card_behind_an_iban_and_dates_in_a_row():
+    new, counts = pii.pseudonymize(KEY, "BE68 5390 0754 7034 4111 1111 1111 1111")
+    assert counts == {"iban": 1, "card": 1} and "4111 1111" not in new and "0754" not in new
+    days = " ".join(f"2024-01-{d:02d}" for d in range(1, 9))
+    assert set(pii.pseudonymize(KEY, days)[1]) <= {"date", "card"} and pii.pseudonymize(KEY, "2024-01-02 2024-01-03")[1] == {"date": 2}
+
+
 def test_documents(spark):
     rows = [(1, "a@b.org", 5, "q"), (2, None, 5, "q"), (None, "", 5, None), (1, "a@b.org", 5, "q"), (3, "x " * 50000 + "a@b.org", 5, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_mail int, kind string")
