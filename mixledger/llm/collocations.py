@@ -18,7 +18,7 @@ from .common import staged, table
 MIN_COUNT, SHARE, TOP = 30, 80, 2000
 WORDS = 4
 #: Words held before they are counted, distinct ones among them, and bytes of a text split at a time.
-HELD_WORDS, HELD_DISTINCT, SLICE = 1 << 22, 1 << 20, 1 << 22
+HELD_WORDS, HELD_DISTINCT, SLICE = 1 << 20, 1 << 19, 1 << 22
 #: Text bytes for one bucket of the counts that rule windows out, the most buckets (an eighth of it in bytes goes to
 #: every worker), and buckets of one block.
 BYTES_PER_BUCKET, MAX_BUCKET_BITS, BLOCK_BITS = 32, 30, 16
