@@ -18,7 +18,7 @@ from .common import staged, table
 MIN_COUNT, SHARE, TOP = 30, 80, 2000
 WORDS = 4
 #: Words held before they are counted, distinct ones among them, and bytes of a text split at a time.
-HELD_WORDS, HELD_DISTINCT, SLICE = 1 << 20, 1 << 19, 1 << 22
+HELD_WORDS, HELD_DISTINCT, SLICE = 1 << 20, 1 << 18, 1 << 22
 #: Text bytes for one bucket of the counts that rule windows out, the most buckets (an eighth of it in bytes goes to
 #: every worker), and buckets of one block.
 BYTES_PER_BUCKET, MAX_BUCKET_BITS, BLOCK_BITS = 32, 30, 16
@@ -234,6 +234,8 @@ def phrase_counts(texts: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     bits = min(max((size // BYTES_PER_BUCKET).bit_length(), 3), MAX_BUCKET_BITS)
     counted = windows(texts, bits, frequent_buckets(texts, bits, least))
     words = [f"w{i}" for i in range(1, WORDS + 1)]
+    # Whole windows are added up first, so that shorter prefixes are made of each distinct window once and not in every task.
+    counted = counted.groupBy("lang", *words).agg(F.sum("n").alias("n"))
     rolled = counted.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     # grouping_id: 15 for the language alone, 7, 3, 1, 0 for one to four words.
     length = F.when(F.col("rolled") == 15, 0)
