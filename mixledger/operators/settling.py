@@ -34,7 +34,7 @@ def greedy_pairs(pairs: DataFrame, one: str, other: str, key: list[str], on: tup
     In each round a pair that comes first at both of its ends is kept, which is just what the order would do, and every
     pair that shares an end with it goes. The rounds end when no pair is left; most sets need two or three.
     """
-    order = F.struct(*key, one, other)
+    order = F.struct(*dict.fromkeys([*key, one, other]))
     left, kept = cut_lineage(pairs), None
     while not left.isEmpty():
         mine = left.groupBy(*on, one).agg(F.min(order).alias("_k")).select(*on, one, F.col(f"_k.{other}").alias(other))
@@ -46,7 +46,7 @@ def greedy_pairs(pairs: DataFrame, one: str, other: str, key: list[str], on: tup
     return left if kept is None else kept
 
 
-def turned_listings(entries: DataFrame, songs: DataFrame) -> DataFrame:
+def turned_listings(entries: DataFrame, songs: DataFrame, *, forms: DataFrame | None = None) -> DataFrame:
     """``entries`` with lines that were heard only the other way round read that way; ``turned`` tells which.
 
     entries[set_id, source, position, kind, artist, title, version]; songs [set_id, slot, artist, title, version] of what was heard.
@@ -59,7 +59,7 @@ def turned_listings(entries: DataFrame, songs: DataFrame) -> DataFrame:
     straight = named.select(*label).withColumn("way", F.lit("straight"))
     other = named.select("id", "set_id", F.col("title").alias("artist"), F.col("artist").alias("title"), "version").withColumn("way", F.lit("turned"))
     both = straight.unionByName(other).withColumn("id", F.struct("id", "way")).drop("way")
-    met = same_songs(both, heard, ["set_id"], INSIDE).select("set_id", F.col("left_id.id").alias("id"), F.col("left_id.way").alias("way")).distinct()
+    met = same_songs(both, heard, ["set_id"], INSIDE, forms).select("set_id", F.col("left_id.id").alias("id"), F.col("left_id.way").alias("way")).distinct()
     ways = cut_lineage(
         met.groupBy("set_id", "id").agg(F.bool_or(F.col("way") == "straight").alias("_straight"), F.bool_or(F.col("way") == "turned").alias("_turned"))
     )
@@ -74,7 +74,7 @@ def turned_listings(entries: DataFrame, songs: DataFrame) -> DataFrame:
     return rows.withColumns(swapped).select(*entries.columns, "turned")
 
 
-def rejoined(slots: DataFrame, songs: DataFrame, *, fold: float = FOLD_SECONDS) -> DataFrame:
+def rejoined(slots: DataFrame, songs: DataFrame, *, fold: float = FOLD_SECONDS, forms: DataFrame | None = None) -> DataFrame:
     """set_id, slot, owner: heard slots no listing names that are one play with a listed and heard slot nearby.
 
     slots also holds start and end of what was heard. A song heard again within ``fold`` seconds before or after, even
@@ -86,7 +86,7 @@ def rejoined(slots: DataFrame, songs: DataFrame, *, fold: float = FOLD_SECONDS)
     label = ["artist", "title", "version"]
     mine = songs.join(spare, ["set_id", "slot"], "left_semi").select("set_id", F.col("slot").alias("id"), *label)
     theirs = songs.join(anchors, ["set_id", "slot"], "left_semi").select("set_id", F.col("slot").alias("id"), *label)
-    alike = same_songs(mine, theirs, ["set_id"], INSIDE).select("set_id", F.col("left_id").alias("slot"), F.col("right_id").alias("owner")).distinct()
+    alike = same_songs(mine, theirs, ["set_id"], INSIDE, forms).select("set_id", F.col("left_id").alias("slot"), F.col("right_id").alias("owner")).distinct()
     met = alike.join(spare, ["set_id", "slot"]).join(
         anchors.select("set_id", F.col("slot").alias("owner"), F.col("start").alias("_start"), F.col("end").alias("_end")), ["set_id", "owner"]
     )
@@ -108,7 +108,8 @@ def listed_neighbours(slots: DataFrame, texts: DataFrame, *, hot: Hot | None = N
 
 
 def twins(
-    slots: DataFrame, texts: DataFrame, songs: DataFrame, *, unify: float = UNIFY_SECONDS, light_rows: int | None = LIGHT_ROWS
+    slots: DataFrame, texts: DataFrame, songs: DataFrame, *, unify: float = UNIFY_SECONDS, light_rows: int | None = LIGHT_ROWS,
+    forms: DataFrame | None = None,
 ) -> DataFrame:
     """set_id, slot, keep: unheard slots that are the same song as another unheard slot ``keep``, placed apart by two listings.
 
@@ -122,7 +123,7 @@ def twins(
     beside = listed_neighbours(slots, texts, hot=hot)
     known = cut_lineage(unheard.join(beside, ["set_id", "slot"]))
     own = songs.join(unheard, ["set_id", "slot"], "left_semi").select("set_id", F.col("slot").alias("id"), "artist", "title", "version")
-    alike = same_songs(own, own, ["set_id"], INSIDE).where("left_id < right_id")
+    alike = same_songs(own, own, ["set_id"], INSIDE, forms).where("left_id < right_id")
     first = known.select("set_id", *(F.col(c).alias(f"a_{c}") for c in known.columns if c != "set_id"))
     second = known.select("set_id", *(F.col(c).alias(f"b_{c}") for c in known.columns if c != "set_id"))
     met = alike.select("set_id", F.col("left_id").alias("a_slot"), F.col("right_id").alias("b_slot")).distinct()
@@ -182,7 +183,7 @@ def filled_ids(slots: DataFrame, texts: DataFrame, *, reach: float = ID_REACH, l
     return lone.join(clear, ["set_id", "id"], "left_anti").select("set_id", F.col("id").alias("slot"), "song")
 
 
-def echoes(slots: DataFrame, songs: DataFrame, *, size: float = 3600.0, light_rows: int | None = LIGHT_ROWS) -> DataFrame:
+def echoes(slots: DataFrame, songs: DataFrame, *, size: float = 3600.0, light_rows: int | None = LIGHT_ROWS, forms: DataFrame | None = None) -> DataFrame:
     """set_id, slot: songs heard once that only name, in some version, the track just before or after them.
 
     slots also holds weak (heard once and not listed). Neighbours are the nearest slots in time that are no weak ones and go by a label.
@@ -203,7 +204,7 @@ def echoes(slots: DataFrame, songs: DataFrame, *, size: float = 3600.0, light_ro
     mine = songs.join(weak, ["set_id", "slot"], "left_semi").select("set_id", F.col("slot").alias("id"), *label)
     near = weak.select("set_id", F.col("track").alias("slot"))
     theirs = songs.join(near, ["set_id", "slot"], "left_semi").select("set_id", F.col("slot").alias("id"), *label)
-    alike = same_songs(mine, theirs, ["set_id"], SAME_TITLE).select("set_id", F.col("left_id").alias("slot"), F.col("right_id").alias("track"))
+    alike = same_songs(mine, theirs, ["set_id"], SAME_TITLE, forms).select("set_id", F.col("left_id").alias("slot"), F.col("right_id").alias("track"))
     return weak.join(alike, ["set_id", "slot", "track"]).select("set_id", "slot").distinct()
 
 

@@ -194,15 +194,19 @@ def similar_titles(left: DataFrame, right: DataFrame, on: list[str]) -> DataFram
     return down.select(*columns).union(up.select(*columns)).union(close.where(near).select(*columns)).distinct()
 
 
-def same_songs(left: DataFrame, right: DataFrame, on: list[str] | None = None, least: float = SAME_TITLE) -> DataFrame:
+def same_songs(
+    left: DataFrame, right: DataFrame, on: list[str] | None = None, least: float = SAME_TITLE, forms: DataFrame | None = None
+) -> DataFrame:
     """(on, left_id, right_id, likeness) of every pair of rows that name one song, ``least`` or more.
 
     left and right [id, on, artist, title, version]. Titles meet first, then distinct songs are compared, and ids join
     in at the end: a label that stands in many rows is folded, met and judged once. Below ``SAME_TITLE`` + there are pairs
-    of one title by others; ask for ``CLOSE`` or more where a title such as "Intro" is common.
+    of one title by others; ask for ``CLOSE`` or more where a title such as "Intro" is common. ``forms`` holds (artist, title, version, names, core,
+    text) of every label, none null, where they are known already.
     """
     on = on or []
-    a, b = (with_song(x).select("id", *on, *SONG) for x in (left, right))
+    label = ["artist", "title", "version"]
+    a, b = ((with_song(x) if forms is None else x.join(forms, label)).select("id", *on, *SONG) for x in (left, right))
     a, b = cut_lineage(a), cut_lineage(b)
     mine = a.select(*on, *(F.col(c).alias(f"a_{c}") for c in SONG)).distinct()
     theirs = b.select(*on, *(F.col(c).alias(f"b_{c}") for c in SONG)).distinct()
