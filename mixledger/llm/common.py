@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def staged(df: DataFrame) -> DataFrame:
+#: Folders of the tables written since each open ``scratch`` block began.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go when the block ends, but for those staged as ``lasting``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, lasting: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder, for results that several later jobs read.
 
     Columnar and compressed, so later jobs read only the columns they name, and a lost executor
@@ -42,6 +60,8 @@ def staged(df: DataFrame) -> DataFrame:
     if not shared:
         return cut_lineage(df)
     path = f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if _open and not lasting:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
