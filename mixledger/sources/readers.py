@@ -84,26 +84,56 @@ def _renamed(names: list[str]) -> dict[str, str]:
     return found
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.monotonically_increasing_id().alias("no"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "no").alias("head"))
+    return {r.head: r.files for r in first.groupBy("head").agg(F.array_sort(F.collect_set("file")).alias("files")).collect()}
+
+
+def _header_names(spark: SparkSession, head: str, sep: str) -> list[str]:
+    """The names of a header line, quoted ones with a separator inside too."""
+    width = head.count(sep) + 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    row = spark.range(1).select(F.from_csv(F.lit(head), schema, {"sep": sep}).alias("r")).first().r
+    names = [n for n in row]
+    while names and names[-1] is None:
+        names.pop()
+    return [n or "" for n in names]
+
+
 def read_playlist_csv(spark: SparkSession, path: str, *, sep: str | None = None) -> DataFrame:
-    """position, artist, title, version, added_at, url, kind of a playlist CSV.
+    """file, position (from 0 in each file), artist, title, version, added_at, url, kind of playlist CSV files.
 
-    Everything is text; a ragged row fails the read. The separator is the one its header uses.
+    Everything is text; a ragged row fails the read. Each file of a folder is read by its own header and the
+    separator that this header uses; columns that a file lacks are null. A file is read by one task, as quoted fields
+    may hold line ends. Only headers come to the driver, one row for each different one.
     """
-    head = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).first().value
-    sep = sep or max([",", "\t", ";"], key=head.count)
-    names = [n.strip().strip('"') for n in head.split(sep)]
-    if len(set(map(header_key, names))) != len(names):
-        raise ValueError("Column names must be unique.")
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    rows = spark.read.csv(path, schema=schema, header=False, sep=sep, multiLine=True, mode="FAILFAST", encoding="UTF-8")
-    rows = rows.withColumn("_no", F.monotonically_increasing_id())
-    first = rows.agg(F.min("_no").alias("n")).first().n
-    known = _renamed(names)
-    if not {"artist", "title"} <= set(known.values()):
-        raise ValueError("A playlist needs artist and title columns.")
-    columns = [F.col(f"c{names.index(n)}").alias(c) for n, c in known.items()]
-    kind = "history" if HISTORY_ONLY & set(known.values()) else "streaming" if "added_at" in known.values() else "generic"
-    return rows.where(F.col("_no") != first).select(F.col("_no").alias("position"), *columns, F.lit(kind).alias("kind"))
+    found = None
+    for head, files in sorted(_headers(spark, path).items()):
+        own = sep or max([",", "\t", ";"], key=head.count)
+        names = _header_names(spark, head, own)
+        if len(set(map(header_key, names))) != len(names):
+            raise ValueError("Column names must be unique.")
+        known = _renamed(names)
+        if not {"artist", "title"} <= set(known.values()):
+            raise ValueError("A playlist needs artist and title columns.")
+        schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+        rows = spark.read.csv(files, schema=schema, header=True, sep=own, multiLine=True, mode="FAILFAST", encoding="UTF-8")
+        rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_no"))
+        starts = rows.groupBy("file").agg(F.min("_no").alias("_start"))
+        columns = [F.col(f"c{names.index(n)}").alias(c) for n, c in known.items()]
+        kind = "history" if HISTORY_ONLY & set(known.values()) else "streaming" if "added_at" in known.values() else "generic"
+        placed = rows.join(starts, "file").select("file", (F.col("_no") - F.col("_start")).alias("position"), *columns, F.lit(kind).alias("kind"))
+        found = placed if found is None else found.unionByName(placed, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("A playlist needs a header.")
+    return found
 
 
 def read_song_rows(spark: SparkSession, path: str) -> DataFrame:

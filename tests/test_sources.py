@@ -88,6 +88,19 @@ def test_csv_and_song_rows(spark, tmp_path):
     assert [(r.artist, r.title, r.version) for r in rows] == [("A", "One", "Dub")]
 
 
+def test_a_folder_of_csv_files_is_read_by_the_header_of_each(spark, tmp_path):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    (folder / "a.csv").write_text('Title,Artist\n"One\nmore",A\nTwo,B\n')
+    (folder / "b.csv").write_text('Artist;"Title";Added At\nC;Three, four;2024-01-01\n')
+    (folder / "c.csv").write_text("Title,Artist\nFive,D\n")
+    rows = readers.read_playlist_csv(spark, str(folder)).collect()
+    assert sorted((r.file[-5:], r.position, r.artist, r.title, r.added_at, r.kind) for r in rows) == [
+        ("a.csv", 0, "A", "One\nmore", None, "generic"), ("a.csv", 1, "B", "Two", None, "generic"),
+        ("b.csv", 0, "C", "Three, four", "2024-01-01", "streaming"), ("c.csv", 0, "D", "Five", None, "generic"),
+    ]
+
+
 def test_m3u_in_order(spark, tmp_path):
     df = spark.createDataFrame([("c", i, "A", f"T{i}", "", f"/m/{i}.mp3", 60.4) for i in (2, 0, 1)], "collection_id string, position int, artist string, title string, version string, path string, duration double")
     out = tmp_path / "m3u"
