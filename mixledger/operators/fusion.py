@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import with_forms
 from ..session import cut_lineage, spread
 from . import timeline as tl
+from .hints import id_hints
 from .scan import LIGHT_ROWS, Hot, Scan, hot_groups, scan
 
 # Reach of an ID, song length, and how surely two labels name one song.
@@ -285,7 +286,7 @@ def identify_sets(
         weak = free.where(F.col("strength") == "weak").select("set_id", "play_id", "start", heard.alias("c"))
         tracks, unplaced = _offer(tracks, weak, WEAK_REACH)
     if hints is not None:
-        tracks = _hint(tracks, hints)
+        tracks = _hint(tracks, hints, size, hot)
     tracks = cut_lineage(tracks)
     ends = tl.end_times(
         scan(
@@ -365,14 +366,29 @@ def _offer(tracks: DataFrame, weak: DataFrame, reach: float) -> tuple[DataFrame,
     )
 
 
-def _hint(tracks: DataFrame, hints: DataFrame) -> DataFrame:
-    """The best song listeners named near an ID, unless it names the set's own neighbour there."""
-    from .intervals import near
-
-    ids = tracks.where((F.col("kind") == "unknown") & F.col("start").isNotNull()).select("set_id", F.col("start").alias("at"), "entry_id")
-    songs = tracks.where(F.col("kind") == "named").select("set_id", F.lower("title").alias("_title")).distinct()
-    free = hints.withColumns({"_title": F.lower("title"), "seconds": F.col("at")}).drop("at").join(songs, ["set_id", "_title"], "left_anti")
-    best = near(ids, free, before=0.0, after=300.0).groupBy("set_id", "entry_id").agg(
-        F.max_by(F.struct("artist", "title"), F.struct("mentions", -F.col("seconds"))).alias("hint")
+def _hint(tracks: DataFrame, hints: DataFrame, size: float, hot: Hot | None) -> DataFrame:
+    """The best song listeners named near an ID, unless the tracklist has it or it names the set's own neighbour there."""
+    titled = F.when(F.col("kind") == "named", F.lower("title"))
+    placed = tracks.where(F.col("start").isNotNull()).select("set_id", "entry_id", "kind", "start", titled.alias("_title"))
+    rows = cut_lineage(
+        scan(
+            placed, ["set_id"], ["start", "entry_id"], tl.hours("start", size),
+            [Scan("previous", "lag", F.col("_title")), Scan("_before", "lag", F.col("entry_id"))], hot=hot,
+        )
+    )
+    after = rows.where(F.col("_before").isNotNull()).select(
+        "set_id", F.col("_before").alias("entry_id"), F.col("_title").alias("following"), F.col("start").alias("end")
+    )
+    ids = rows.where(F.col("kind") == "unknown").select("set_id", "entry_id", F.col("start").alias("at"), "previous")
+    said = hints.select(
+        "set_id", F.col("at").alias("seconds"), F.lower(F.coalesce("artist", F.lit(""))).alias("artist"),
+        F.lower(F.coalesce("title", F.lit(""))).alias("title"), "mentions",
+        F.lit(0).alias("likes"), F.struct("artist", "title").alias("_given"),
+    )
+    spelled = said.groupBy("set_id", "artist", "title").agg(F.min("_given").alias("_given"))
+    named = tracks.select("set_id", titled.alias("title")).where(F.col("title").isNotNull())
+    found = id_hints(ids.join(after, ["set_id", "entry_id"], "left"), said.drop("_given"), named)
+    best = found.join(spelled, ["set_id", "artist", "title"]).groupBy("set_id", "entry_id").agg(
+        F.max_by("_given", F.struct("mentions", "_given")).alias("hint")
     )
     return tracks.join(best, ["set_id", "entry_id"], "left")

@@ -232,3 +232,25 @@ def normalize_history(events: DataFrame, tracks: DataFrame, artists: DataFrame,
     )
     rows = events.join(tracks, "track_id", "left").join(names, "track_id", "left")
     return rows if places is None else rows.join(places, "place_id", "left")
+
+
+def union_histories(sources: dict[str, DataFrame]) -> DataFrame:
+    """The records of several histories with their ``source``; columns that one lacks are null there."""
+    named = [rows.withColumn("source", F.lit(name)) for name, rows in sources.items()]
+    if not named:
+        raise ValueError("A union needs a history.")
+    every = named[0]
+    for rows in named[1:]:
+        every = every.unionByName(rows, allowMissingColumns=True)
+    return every
+
+
+def source_songs(records: DataFrame, *, order: str = "position", every: str = "all") -> DataFrame:
+    """(user_id, source, songs, plays) of a union: songs merged within each source alone, and over all of them."""
+    spread = records.withColumn("_source", F.explode(F.array(F.col("source"), F.lit(every))))
+    # One merge for all: a source of a user is linked like a user of its own.
+    apart = spread.withColumns({"_user": F.col("user_id"), "user_id": F.concat_ws("\u001e", "_source", "user_id")})
+    songs = with_songs(apart, order).groupBy("_user", "_source", "song").agg(F.count("*").alias("plays"))
+    return songs.groupBy(F.col("_user").alias("user_id"), F.col("_source").alias("source")).agg(
+        F.count("*").alias("songs"), F.sum("plays").alias("plays")
+    )

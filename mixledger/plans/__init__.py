@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["lists", "timeline", "records", "texts", "sets", "upkeep", "reads", "setlists", "settling"]
+MODULES = ["lists", "timeline", "records", "texts", "sets", "upkeep", "reads", "setlists", "settling", "hints"]
 
 
 def _load() -> None:

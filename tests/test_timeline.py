@@ -83,3 +83,14 @@ def test_identify(spark):
     assert ids[0].candidates[0].title == "Atlas"
     alone = fusion.identify_sets(df, None, total, stride=30.0)
     assert [(r.kind, r.title) for r in alone["tracks"].orderBy("position").collect()][:3] == [("named", "Halo"), ("named", "Glue"), ("named", "Atlas")]
+    said = [
+        ("s", 160.0, "Halo", "Someone", 9),  # an early comment; Halo is no neighbour of the ID, but Someone is no song of the list
+        ("s", 230.0, "GLUE (Dub)", "swapped", 20),  # the song before the ID as a half
+        ("s", 240.0, "Other", "unheard", 30),  # in the list
+        ("s", 120.0, "too", "early", 40),
+        ("s", 336.0, "too", "late", 40),
+        ("s", 335.0, "Dusky", "Yoohoo", 10),
+    ]
+    hints = spark.createDataFrame(said, "set_id string, at double, artist string, title string, mentions long")
+    hinted = fusion.identify_sets(df, listing, total, hints, stride=30.0)["tracks"].where("kind = 'unknown'").collect()
+    assert [(r.hint.artist, r.hint.title) for r in hinted] == [("Dusky", "Yoohoo")]
