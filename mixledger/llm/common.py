@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..session import cut_lineage
 
 #: A word is a run of code points that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a worker turns into Python values at once.
+SLICE_ROWS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +35,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in order, cut into views of a few rows, so that a worker holds the results of those only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Folders of the tables written since each open ``scratch`` block began.
 _open: list[list[str]] = []
 

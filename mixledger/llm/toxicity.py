@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,11 +291,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels.where(~is_held_out(F.col("doc_id"))))
     weights = np.array(model.weights)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.lexicon)
-        x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), Scorer.N)
-        return pd.Series(x @ weights < 0)
+        for texts in batches:
+            x = np.array([scorer.features(t.as_py()) for t in texts]).reshape(len(texts), Scorer.N)
+            yield pa.array(x @ weights < 0)
 
     return docs.where(clean("text"))
 
