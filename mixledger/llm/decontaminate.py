@@ -124,16 +124,16 @@ def term_counts(index: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------- search
 
 
-def _windows(items: list[tuple[str, list[bytes]]], n: int) -> dict[tuple, set[str]]:
-    """The windows of the items, each with the items that hold it."""
+def _windows(items: list[tuple[str | None, list[bytes]]], n: int) -> dict[tuple, set[str]]:
+    """The windows of the items, each with the items that hold it; an item without an id has windows but no name."""
     found: dict[tuple, set[str]] = defaultdict(set)
     for item, words in items:
         for i in range(max(1, len(words) - n + 1) if words else 0):
-            found[tuple(words[i : i + n])].add(item)
+            found[tuple(words[i : i + n])].update([] if item is None else [item])
     return found
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window_words: int = WINDOW_WORDS, slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window_words: int = WINDOW_WORDS, slop: int | None = None) -> DataFrame:
     """For every indexed document the words that windows of ``items`` hit, and the items found.
 
     A window starts from the postings of its globally rarest term and intersects the postings of
@@ -237,7 +237,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window_words:
 
 def _blocks(tests: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
     """The test items in blocks of bounded size, one partition at a time on the driver."""
-    rows = tests.select(F.col(id_col).cast("string"), text_col).where(F.col(id_col).isNotNull())
+    rows = tests.select(F.col(id_col).cast("string"), text_col)
     block, held = [], 0
     for item, text in rows.toLocalIterator():
         words = words_of(text)
@@ -264,8 +264,8 @@ def contamination(
     """(id, n_words, runs, items, near_items, n_hit, contaminated) for every row of ``docs``.
 
     A window is ``window_words`` consecutive words of an item; a shorter item that has words is one
-    window. A word is hit when it lies inside any occurrence of a window. Test items without an
-    id or without words name nothing. Null and empty texts have no words and no hits. Repeated
+    window. A word is hit when it lies inside any occurrence of a window. A test item without an
+    id hits words and is not named among the items; one without words hits nothing. Null and empty texts have no words and no hits. Repeated
     document rows give a row each. A test set beyond ``block_words`` words is searched block by
     block and the hits of a document are united, so nothing about the tests is unbounded.
     """
@@ -339,7 +339,7 @@ _LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 _WORDS = rf"regexp_extract_all({_LETTERS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP8_SQL = f"""
-with items as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark where item_id is not null),
+with items as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
 windows as (
   select distinct item_id, len(w[i : i + 12]) as n, array_to_string(w[i : i + 12], ' ') as gram
   from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from items where len(w) > 0)
