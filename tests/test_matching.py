@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from mixledger.functions.labels import clean_key, key_order, with_forms
 from mixledger.operators import lists
-from mixledger.operators.matching import check_lists
+from mixledger.operators.matching import check_lists, check_states
 
 CATALOG = "recording_id string, revision_id string, identity_key string, artist string, title string, version string, sha256 string"
 ITEM = (
@@ -128,3 +128,52 @@ def test_keys(spark):
     assert good == ["8A", "10B", "Am", None, None]
     order = [r.k for r in df.where("k is not null").orderBy(key_order("k")).collect()]
     assert order == ["8A", "10B", "Am", "H"]
+
+
+def test_states_without_candidates_equal_the_full_check(spark):
+    """``check_states`` gives the states, counts and labels of ``check_lists``, also for copies and shared revisions."""
+    rows = [
+        ("1", "v1", None, "Bicep", "Glue", ""),
+        ("2", "v2", None, "Bicep", "Glue", "Dub"),
+        ("3", "v2", None, "Bicep", "Glue", ""),  # one revision under two labels is no other version
+        ("4", "v4", None, "Two", "Same", ""),
+        ("5", "v5", None, "Two", "Same", ""),
+        ("5", "v5", None, "Two", "Same", ""),
+        ("6", "v6", None, "Robert Glasper", "Cherish", ""),
+        ("7", "v7", None, "X", "Me Myself and I", ""),
+        ("8", "v8", None, "X", "Me, Myself & I", ""),
+        ("9", "v9", "provisional:abc", "File", "Name", ""),
+        ("10", "v10", None, "Gone", "Song", ""),
+        ("11", "v11", None, "Mix", "Only", "VIP"),
+        ("12", "v12", None, "Mix", "Only", "Dub"),
+    ] + [(f"c{i}", f"w{i}", None, "Many", "Copies", "Edit" if i % 2 else "") for i in range(400)]
+    held = spark.createDataFrame(
+        [(r, v, k or f"{a}|{t}|{x}", a, t, x, f"sha{v}") for r, v, k, a, t, x in rows], CATALOG
+    )
+    places = held.select("revision_id", F.concat(F.lit("/m/"), "revision_id").alias("path"), F.lit(True).alias("managed")).distinct()
+    inventory = places.select(
+        "path",
+        F.when(F.col("revision_id") == "v10", "other").otherwise(F.concat(F.lit("sha"), "revision_id")).alias("sha256"),
+        F.lit("readable").alias("status"),
+    )
+    asked = [
+        ("Bicep", "Glue", ""), ("Bicep", "Glue", "Dub"), ("bicep", "GLUE (Original Mix)", ""), ("Two", "Same", ""),
+        ("Robert Glasper Experiment", "Cherish", ""), ("X", "Me Myself & I", ""), ("X", "Me, Myself and I", ""), ("File", "Name", ""),
+        ("Gone", "Song", ""), ("Mix", "Only", "Live"), ("Many", "Copies", ""), ("Many", "Copies", "Edit"), ("Many", "Copies", "Dub"),
+        ("Nobody", "Nothing", None), ("Bicep", "Glue", "Rework"),
+    ]
+    items = spark.createDataFrame(
+        [("L", i, f"i{i}", "unknown" if i == 0 else "named", *x) for i, x in enumerate([asked[0], *asked])],
+        "list_id string, position int, item_id string, kind string, artist string, title string, version string",
+    )
+    full = lists.set_table(check_lists(items, held, places, inventory)).orderBy("position").collect()
+    states = check_states(items, held, places, inventory)
+    assert lists.set_table(states).orderBy("position").collect() == full
+    of = lambda match: F.size(F.filter("candidates", lambda c: c["identity_match"] == match)).cast("long")
+    facts = ["position", "state", "accepted", "exact_count"]
+    found = check_lists(items, held, places, inventory)
+    want = found.select(*facts, of("different_version").alias("r"), of("similar_credits").alias("m")).orderBy("position").collect()
+    got = states.select(*facts, F.col("related_total").alias("r"), F.col("maybe_total").alias("m")).orderBy("position").collect()
+    assert got == want
+    assert lists.list_counts(states).collect() == lists.list_counts(found).collect()
+    assert not any("array" in kind for name, kind in states.dtypes)  # no row grows with the copies of its label
