@@ -217,3 +217,25 @@ def test_errors_and_ingest(spark):
     assert [(r.artist, r.title, r.labels_source) for r in out["recordings"].collect()] == [("Four Tet", "Baby", "file_name")]
     assert sorted(r.sha256 for r in out["revisions"].collect()) == ["s2", "s3"]
     assert {r.path: r.revision_id for r in out["locations"].collect()}["/a"] == "v1"
+
+
+def test_published_lines_are_read_once(spark):
+    """Line patterns run on distinct lines only, page facts come from windows, and Unicode text still folds."""
+    kind = "set_id int, title string, uploader string, description string, chapters array<struct<start_time:double,title:string>>"
+    rows = [
+        (1, "Somebody at X", "Café", "Intro text\n[0:00] Á - One\n[3:00] B - Twö\nRecorded live - somewhere", None),
+        (2, None, None, "C - Three", [(0.0, "D - Four"), (60.0, "E - Five"), (120.0, "F - Six")]),
+        (3, "T", "U", None, [(0.0, "Ø - Seven")]),
+    ]
+    found = pages.published_tracklist(spark.createDataFrame(rows, kind))
+    got = [tuple(r) for r in found.select("set_id", "source", "line_no", "line").orderBy("set_id", "line_no").collect()]
+    assert got == [
+        (1, "description", 1, "[00:00] Á - One"),
+        (1, "description", 2, "[03:00] B - Twö"),
+        (2, "chapters", 0, "[00:00] D - Four"),
+        (2, "chapters", 1, "[01:00] E - Five"),
+        (2, "chapters", 2, "[02:00] F - Six"),
+        (3, "chapters", 0, "[00:00] Ø - Seven"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("ArrowEvalPython") == 1
