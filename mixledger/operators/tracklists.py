@@ -6,7 +6,7 @@ sequence, where tracks start) comes from aggregates over its lines, joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import clock
@@ -48,6 +48,44 @@ def cut_once(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
+def _with_totals(rows: DataFrame, hot: Hot, **totals: Column) -> DataFrame:
+    """``rows`` with aggregates over their list: windows, so that lines are read once, while no list is large."""
+    if hot.frame is None and not hot.every:
+        whole = Window.partitionBy("list_id")
+        return rows.withColumns({name: value.over(whole) for name, value in totals.items()})
+    return rows.join(rows.groupBy("list_id").agg(*(value.alias(name) for name, value in totals.items())), "list_id")
+
+
+def _with_sequence(rows: DataFrame, hot: Hot) -> DataFrame:
+    """``rows`` with ``in_sequence``: the leading numbers of their list start low and go up in small steps."""
+    step = F.col("number") - F.col("before")
+    if hot.frame is None and not hot.every:
+        order = Window.partitionBy("list_id").orderBy("line_no")
+        before = F.last("number", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        steady = F.when(F.col("number").isNotNull(), F.col("before").isNull() | step.between(1, 3))
+        first = F.min(F.when(F.col("number").isNotNull(), F.struct("line_no", "number")))
+        rows = rows.withColumn("before", before).withColumn("_steady", steady)
+        rows = _with_totals(rows, hot, _numbers=F.count("number"), _low=first, _all_steady=F.bool_and("_steady"))
+        found = (F.col("_numbers") >= 2) & (F.col("_low.number") <= 3) & F.col("_all_steady")
+        return rows.withColumn("in_sequence", found).drop("before", "_steady", "_numbers", "_low", "_all_steady")
+    numbers = scan(
+        rows.where(F.col("number").isNotNull()).select("list_id", "line_no", "number"),
+        ["list_id"],
+        ["line_no"],
+        F.floor(F.col("line_no") / 10_000),
+        [Scan("before", "lag", F.col("number"))],
+        hot=hot,
+    )
+    sequence = numbers.groupBy("list_id").agg(
+        (
+            (F.count(F.lit(1)) >= 2)
+            & (F.min_by("number", "line_no") <= 3)
+            & F.bool_and(F.col("before").isNull() | step.between(1, 3))
+        ).alias("in_sequence")
+    )
+    return rows.join(sequence, "list_id", "left")
+
+
 def parse_tracklists(
     lines: DataFrame, source_url: Column | None = None, *, light_rows: int | None = LIGHT_ROWS, hot: Hot | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,36 +124,21 @@ def parse_tracklists(
     rows = bind(rows, bare=~F.col("marked") & F.col("body").rlike(BARE_NUMBER))
     rows = rows.select("list_id", "line_no", "raw", "body", "time", "marked", "bare", "number")
 
-    numbers = scan(
-        rows.where(F.col("number").isNotNull()).select("list_id", "line_no", "number"),
-        ["list_id"],
-        ["line_no"],
-        F.floor(F.col("line_no") / 10_000),
-        [Scan("before", "lag", F.col("number"))],
-        hot=hot,
-    )
-    step = F.col("number") - F.col("before")
-    sequence = numbers.groupBy("list_id").agg(
-        (
-            (F.count(F.lit(1)) >= 2)
-            & (F.min_by("number", "line_no") <= 3)
-            & F.bool_and(F.col("before").isNull() | step.between(1, 3))
-        ).alias("in_sequence")
-    )
-    rows = rows.join(sequence, "list_id", "left")
+    rows = _with_sequence(rows, hot)
     turned = F.coalesce("in_sequence", F.lit(False)) & F.col("bare")
     rows = bind(
         rows,
         body=F.when(turned, cut_once(F.col("body"), BARE_NUMBER)).otherwise(F.col("body")),
         marked=F.col("marked") | turned,
     )
-    whole = rows.groupBy("list_id").agg(
-        F.count(F.lit(1)).alias("_lines"),
-        F.count_if("marked").alias("_marked"),
-        F.min(F.when(F.col("marked"), F.col("line_no"))).alias("_first_marked"),
-        F.min("line_no").alias("_first"),
+    rows = _with_totals(
+        rows,
+        hot,
+        _lines=F.count(F.lit(1)),
+        _marked=F.count_if("marked"),
+        _first_marked=F.min(F.when(F.col("marked"), F.col("line_no"))),
+        _first=F.min("line_no"),
     )
-    rows = rows.join(whole, "list_id")
     numbered = (F.col("_marked") >= 2) & (F.col("_marked") * 2 >= F.col("_lines"))
     started = F.coalesce(F.col("line_no") >= F.col("_first_marked"), F.lit(False))
     parts = F.split("body", SEPARATOR, 2)

@@ -239,3 +239,16 @@ def test_published_lines_are_read_once(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_lists_parse_alike_by_windows_and_by_joins(spark):
+    """Small lists are read once, by windows; large ones keep the joins, and both give the same rows."""
+    rnd = random.Random(5)
+    lines = ["1. A - One", "2) B - Two", "3 C - Three", "07 D - Four", "E - Five", "[03:00] F - Six", "4:00", "ID", "heading", "", "12.", "G - Seven [Label]"]
+    rows = [(i, n, rnd.choice(lines)) for i in range(40) for n in range(1, rnd.randrange(2, 9))]
+    rows += [(99, n, f"{n} Song {n} - Title") for n in range(1, 6)] + [(98, n, f"{9 * n} Song - Title") for n in range(1, 6)]
+    df = spark.createDataFrame(rows, "list_id int, line_no int, line string")
+    one, other = tracklists.parse_tracklists(df), tracklists.parse_tracklists(df, light_rows=None)
+    for a, b in zip(one, other):
+        assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
+    assert "Join" not in one[0]._jdf.queryExecution().optimizedPlan().toString()
