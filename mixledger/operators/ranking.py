@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions.labels import base_title, without_artist_tags
 from ..functions.steps import bind
 from ..functions.text import accent_fold, words_of
+from ..session import cut_lineage, spread
 from .scan import Scan, scan
 from .tracklists import SEPARATOR
 
@@ -165,7 +166,7 @@ def assess(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """
     credits = F.array_join("artists", " ") if "artists" in entries.columns else F.lit("")
     found = bind(
-        entries,
+        spread(entries),
         _t=_known(folded_words(F.col("title"))),
         _u=folded_words(F.col("uploader")),
         _c=_padded(_known(folded_words(credits))),
@@ -297,7 +298,8 @@ def rank_sources(
 
     availability[url, available]: entries known to be gone are left out but still vouch for a length.
     """
-    rows = compare_lengths(assess(requests, entries))
+    # Texts are read once: lengths, vouching and ranks each look at the rows again.
+    rows = cut_lineage(compare_lengths(cut_lineage(assess(requests, entries))))
     checked = availability is not None
     if checked:
         rows = rows.join(availability, "url", "left")
@@ -368,6 +370,7 @@ def plan_fetch(items: DataFrame, ranked: DataFrame, *, shown: int | None = None)
 
     ``shown`` cuts the options and alternates of a report; ``n_options`` is their true number.
     """
+    ranked = cut_lineage(ranked)  # read three times
     best = ranked.where("confident").select("request_id", F.struct("url", "title", "duration").alias("_best"))
     inside = F.lit(True) if shown is None else F.col("rank") <= shown
     options = ranked.groupBy("request_id").agg(

@@ -252,3 +252,13 @@ def test_lists_parse_alike_by_windows_and_by_joins(spark):
     for a, b in zip(one, other):
         assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
     assert "Join" not in one[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranked_texts_are_read_once(spark):
+    """Ranks are worked out on rows that are written once; no text is folded again for lengths or vouching."""
+    asked = spark.createDataFrame([("q", "Bicep", "Glue", "")], "request_id string, artist string, title string, version string")
+    schema = "request_id string, url string, title string, uploader string, duration double, view_count long, provider string"
+    entries = spark.createDataFrame([("q", "u", "Bicep - Glue", "Bicep", 240.0, 10, "youtube")], schema)
+    ranked = ranking.rank_sources(asked, entries)
+    assert [(r.url, r.rank, r.confident) for r in ranked.collect()] == [("u", 1, True)]
+    assert "ArrowEvalPython" not in ranked._jdf.queryExecution().optimizedPlan().toString()
