@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most about so many, drawn by a hash of the id.
 TRAIN_ROWS = 50_000
@@ -288,6 +288,7 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic, in all their columns; judged where they stand."""
+    short_batches(docs.sparkSession)
     model = fit(docs, labels.where(~is_held_out(F.col("doc_id"))))
     weights = np.array(model.weights)
 
