@@ -351,9 +351,9 @@ def media_ok(volumes: DataFrame, filesystems: list[str], unsupported_schemes: li
     )
 
 
-def collection_fingerprint(members: DataFrame) -> DataFrame:
-    """collection_id -> fingerprint of its ordered revisions and bytes."""
-    return ordered_fingerprint(members, ["collection_id"], "position", "revision_id", "sha256")
+def collection_fingerprint(members: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """collection_id -> fingerprint of its ordered revisions and bytes; ``also``: more aggregates of a collection."""
+    return ordered_fingerprint(members, ["collection_id"], "position", "revision_id", "sha256", also=also)
 
 
 def crate_readiness(members: DataFrame, receipts: DataFrame) -> DataFrame:

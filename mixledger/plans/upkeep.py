@@ -116,13 +116,12 @@ def invalid_items(spark: SparkSession, folder: str) -> DataFrame:
   w as (select collection_id, string_agg(l_partkey::varchar, '/' order by position) as s, count(*) as n from c group by 1)
   select collection_id, n as tracks, count(*) over (partition by s) as same from w""")
 def collection_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    members = views.numbered_lines(spark, folder).select(
+    members = views.numbered_ids(spark, folder).select(
         F.col("list_id").alias("collection_id"), "position", F.col("recording_id").alias("revision_id"), F.col("recording_id").alias("sha256")
     )
-    prints = verify.collection_fingerprint(members)
+    prints = verify.collection_fingerprint(members, also={"tracks": F.count(F.lit(1))})
     same = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("same"))
-    counts = members.groupBy("collection_id").agg(F.count(F.lit(1)).alias("tracks"))
-    return prints.join(same, "fingerprint").join(counts, "collection_id").select("collection_id", "tracks", "same")
+    return prints.join(same, "fingerprint").select("collection_id", "tracks", "same")
 
 
 @query("""with a as (select l_orderkey, l_partkey, count(*) as n from lineitem where l_linenumber <= 4 group by 1, 2),
@@ -202,7 +201,7 @@ def native_diff(spark: SparkSession, folder: str) -> DataFrame:
     id = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     tracks = part.select(id.alias("recording_id"), path.alias("path"))
     xml = part.select(id.alias("TrackID"), writers.file_uri(path).alias("Location"))
-    lines = views.numbered_lines(spark, folder).select(F.col("list_id").alias("playlist"), "position", "recording_id")
+    lines = views.numbered_ids(spark, folder).select(F.col("list_id").alias("playlist"), "position", "recording_id")
     last = lines.groupBy("playlist").agg(F.max("position").alias("_last"))
     shown = lines.join(last, "playlist").where(F.col("playlist") % 3 != 2)
     entries = shown.select(

@@ -10,3 +10,7 @@ def plan(spark, sf, name):
 def test_same_list_numbers_the_lines_once_per_reading(spark, sf):
     # One reading for the lists and one for the newest of each fingerprint.
     assert plan(spark, sf, "same_list").count("row_number()") <= 2
+
+
+def test_fingerprints_of_collections_read_no_labels(spark, sf):
+    assert "p_partkey" not in plan(spark, sf, "collection_fingerprints")
