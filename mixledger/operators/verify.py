@@ -200,36 +200,38 @@ def native_diff(
         single.select(F.concat(F.lit("p:"), "path_key").alias("_ref"), "path_key")
     )
     seen = refs.join(answers, "_ref", "left")
-    nodes = xml_entries.groupBy("playlist").agg(F.count_distinct("node").alias("nodes"))
-    observed = seen.groupBy("playlist").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count_if(F.col("path_key").isNull()).alias("unresolved"),
-        (F.count("path_key") - F.count_distinct("path_key")).alias("repeats"),
-    )
     expected = playlists.join(wanted.select("recording_id", "path_key"), "recording_id")
-    # Bag and sequence are compared by counts of equal (path) and equal (position, path) rows.
-    bag_left = expected.groupBy("playlist", "path_key").agg(F.count(F.lit(1)).alias("n"))
-    bag_right = seen.where(F.col("path_key").isNotNull()).groupBy("playlist", "path_key").agg(F.count(F.lit(1)).alias("m"))
+    both = expected.select("playlist", "position", F.col("path_key").alias("a"), F.lit(True).alias("meant")).unionByName(
+        seen.select("playlist", "position", F.col("path_key").alias("b"), F.lit(False).alias("meant")), allowMissingColumns=True
+    ).where(F.col("playlist").isNotNull())
+    # Bag and sequence are compared by counts of equal (path) and equal (position, path) rows. Everything is
+    # added up, per path, per place, then per list, so no task sorts several tables side by side.
+    n, m = F.count_if(F.col("meant")), F.count_if(~F.col("meant"))
     bags = (
-        bag_left.join(bag_right, ["playlist", "path_key"], "full")
-        .groupBy("playlist")
-        .agg(F.bool_and(F.coalesce(F.col("n") == F.col("m"), F.lit(False))).alias("bag"))
-    )
-    places = (
-        expected.select("playlist", "position", F.col("path_key").alias("a"))
-        .join(seen.select("playlist", "position", F.col("path_key").alias("b")), ["playlist", "position"], "full")
-        .groupBy("playlist")
-        .agg(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("seq"))
-    )
+        both.where(F.col("meant") | F.col("b").isNotNull())
+        .groupBy("playlist", F.coalesce("a", "b").alias("_path"))
+        .agg(n.alias("n"), m.alias("m"))
+        .select("playlist", (F.col("n") == F.col("m")).alias("bag"), F.greatest(F.col("m") - 1, F.lit(0)).alias("repeats"))
+    )
+    alike = (F.count("a") == n) & (F.count("b") == m) & (F.min("a") == F.max("b")) & (F.max("a") == F.min("b"))
+    places = both.groupBy("playlist", "position").agg(
+        (F.coalesce(alike, F.lit(False)) & F.col("position").isNotNull()).alias("seq"), (m - F.count("b")).alias("unresolved")
+    )
+    nodes = xml_entries.where(F.col("playlist").isNotNull()).groupBy("playlist").agg(F.count_distinct("node").alias("nodes"))
+    named = playlists.select("playlist").distinct().withColumn("_named", F.lit(True))
+    facts = named
+    for part in (nodes, bags, places):
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    report = facts.groupBy("playlist").agg(
+        F.max("nodes").alias("nodes"),
+        F.sum("unresolved").alias("unresolved"),
+        F.sum("repeats").alias("repeats"),
+        F.bool_and("bag").alias("bag"),
+        F.bool_and("seq").alias("seq"),
+        F.max("_named").alias("_named"),
+    ).where("_named")
     clean = (F.col("unresolved") == 0) & (F.col("repeats") == 0)
-    report = (
-        playlists.select("playlist").distinct()
-        .join(nodes, "playlist", "left")
-        .join(observed, "playlist", "left")
-        .join(bags, "playlist", "left")
-        .join(places, "playlist", "left")
-        .withColumns({"membership_match": clean & F.col("bag"), "order_match": clean & F.col("seq")})
-    )
+    report = report.withColumns({"membership_match": clean & F.col("bag"), "order_match": clean & F.col("seq")})
     problem = (
         F.when(F.col("nodes").isNull(), "playlist_missing")
         .when(F.col("nodes") > 1, "playlist_ambiguous")

@@ -14,3 +14,7 @@ def test_same_list_numbers_the_lines_once_per_reading(spark, sf):
 
 def test_fingerprints_of_collections_read_no_labels(spark, sf):
     assert "p_partkey" not in plan(spark, sf, "collection_fingerprints")
+
+
+def test_native_diff_adds_up_instead_of_joining_sides(spark, sf):
+    assert "FullOuter" not in plan(spark, sf, "native_diff")
