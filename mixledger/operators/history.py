@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_forms
@@ -28,7 +28,7 @@ def with_song_keys(records: DataFrame) -> DataFrame:
     )
 
 
-def _fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _fold(rows: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
     fields = [c for c in FIRST_FIELDS if c in rows.columns]
     last = F.coalesce("last_shazamed_at", "shazamed_at") if "last_shazamed_at" in rows.columns else F.col("shazamed_at")
     count = F.coalesce("count", F.lit(1)) if "count" in rows.columns else F.lit(1)
@@ -40,6 +40,7 @@ def _fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.max(F.greatest(last, "shazamed_at")).alias("last_shazamed_at"),
         F.sum(count).alias("count"),
         F.min(when).alias("_order"),
+        *more,
     )
 
 
@@ -48,7 +49,8 @@ def with_songs(records: DataFrame, order: str = "position") -> DataFrame:
 
     Keys link directly or through other records of the user, whatever the order of the records. A record without a
     title links by its ISRC alone, and one without any key is a song of its own, so unlabelled records
-    never meet in one group. Links are found between distinct keys, not rows.
+    never meet in one group. A record stands under its first key; first keys are linked only where a key
+    stands in records of several, to the least of them, so keys of one record alone cost no round of linking.
     """
     rows = with_song_keys(records)
     titled = F.trim(F.coalesce("title", F.lit(""))) != ""
@@ -63,8 +65,9 @@ def with_songs(records: DataFrame, order: str = "position") -> DataFrame:
     nodes = F.transform(keys, lambda k: F.concat(user, F.lit("\u001f"), k))
     alone = F.concat(user, F.lit("\u001f"), F.lit("r:"), F.coalesce(F.col(order).cast("string"), F.lit("")))
     rows = rows.withColumns({"_nodes": nodes, "_first": F.coalesce(F.get(nodes, F.lit(0)), alone)})
-    pairs = rows.where(F.size("_nodes") > 1).select("_first", "_nodes").distinct()
-    edges = pairs.select(F.col("_first").alias("a"), F.explode("_nodes").alias("b"))
+    met = rows.select("_first", F.explode("_nodes").alias("_key"))
+    shared = met.groupBy("_key").agg(F.min("_first").alias("_least"), F.max("_first").alias("_last")).where("_least != _last")
+    edges = met.join(shared, "_key").select(F.col("_first").alias("a"), F.col("_least").alias("b"))
     roots = components(edges).select(F.col("node").alias("_first"), "root")
     label = F.when(titled, F.col("label_key"))
     return rows.join(roots, "_first", "left").select(
@@ -83,12 +86,9 @@ def history_merge(records: DataFrame, *, order: str = "position") -> DataFrame:
     ``song_key`` is the song's first label in text order, else its first ISRC, else its place.
     """
     rows = with_songs(records, order)
-    named = rows.groupBy("user_id", "song").agg(
-        F.coalesce(F.min("_label"), F.min("isrc_key"), F.first("song")).alias("song_key")
-    )
-    songs = _fold(rows, ["user_id", "song"], order)
-    match = songs["user_id"].eqNullSafe(named["user_id"]) & (songs["song"] == named["song"])
-    return songs.join(named, match).select("song_key", *(songs[c] for c in songs.columns if c not in ("_order", "song")))
+    named = F.coalesce(F.min("_label"), F.min("isrc_key"), F.first("song")).alias("song_key")
+    songs = _fold(rows, ["user_id", "song"], order, named)
+    return songs.select("song_key", *(c for c in songs.columns if c not in ("song_key", "_order", "song")))
 
 
 #: The linked merge is the only one; the name is kept for callers.
