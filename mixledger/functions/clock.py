@@ -48,40 +48,29 @@ def dates(text: Column | str) -> Column:
     """Every day a text may name; day and month are read both ways round."""
     t = F.lower(col(text))
 
-    def all_of(pattern: str, group: int) -> Column:
-        return F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
-
-    def read(pattern: str, *orders: tuple[int, int, int]) -> Column:
-        parts = []
-        for y, m, d in orders:
-            joined = F.arrays_zip(all_of(pattern, y).alias("y"), all_of(pattern, m).alias("m"), all_of(pattern, d).alias("d"))
-            year = lambda p: F.when(F.length(p["y"]) == 2, F.concat(F.lit("20"), p["y"])).otherwise(p["y"])
-            parts.append(
-                F.transform(
-                    joined,
-                    lambda p: F.try_to_date(
-                        F.concat_ws("-", year(p), F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"
-                    ),
-                )
-            )
-        return F.concat(*parts)
+    def read(pattern: str, *orders: tuple[int, int, int], month: str | None = None) -> Column:
+        """The days of all places where the pattern stands, found once; the groups are read from each place."""
+
+        def day(place: Column, y: int, m: int, d: int) -> Column:
+            part = lambda i: F.regexp_extract(place, pattern, i)
+            year = F.when(F.length(part(y)) == 2, F.concat(F.lit("20"), part(y))).otherwise(part(y))
+            number = F.lit(month) if month else F.lpad(part(m), 2, "0")
+            return F.try_to_date(F.concat_ws("-", year, number, F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
+
+        places = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.flatten(F.transform(places, lambda p: F.array(*(day(p, *order) for order in orders))))
 
     iso = r"\b((?:19|20)\d{2})[-./](\d{1,2})[-./](\d{1,2})\b"
     short = r"\b(\d{1,2})[-./](\d{1,2})[-./]((?:19|20)?\d{2})\b"
-    found = F.concat(read(iso, (1, 2, 3)), read(short, (3, 2, 1), (3, 1, 2)))
+    named = []
     for number, name in enumerate(MONTHS, 1):
         first = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{name}[a-z]*\.?,?\s+((?:19|20)\d{{2}})\b"
         after = rf"\b{name}[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+((?:19|20)\d{{2}})\b"
-        for pattern in (first, after):
-            pairs = F.arrays_zip(all_of(pattern, 2).alias("y"), all_of(pattern, 1).alias("d"))
-            month = F.lit(f"{number:02d}")
-            found = F.concat(
-                found,
-                F.transform(
-                    pairs,
-                    lambda p: F.try_to_date(F.concat_ws("-", p["y"], month, F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"),
-                ),
-            )
+        named += [read(pattern, (2, 0, 1), month=f"{number:02d}") for pattern in (first, after)]
+    # A text that holds no month's name is asked once, not for every month.
+    none = F.array().cast("array<date>")
+    named = F.when(t.rlike("|".join(MONTHS)), F.concat(*named)).otherwise(none)
+    found = F.concat(read(iso, (1, 2, 3)), read(short, (3, 2, 1), (3, 1, 2)), named)
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
