@@ -177,3 +177,13 @@ def test_states_without_candidates_equal_the_full_check(spark):
     assert got == want
     assert lists.list_counts(states).collect() == lists.list_counts(found).collect()
     assert not any("array" in kind for name, kind in states.dtypes)  # no row grows with the copies of its label
+
+
+def test_summary_names_the_recordings_of_a_list(spark):
+    accepted = "struct<recording_id:string,revision_id:string>"
+    rows = [("L", "satisfied", ("r2", "v2")), ("L", "satisfied", ("r1", "v1")), ("L", "satisfied", ("r2", "v9")),
+            ("L", "missing", None), ("M", "unknown", None)]
+    checked = spark.createDataFrame(rows, f"list_id string, state string, accepted {accepted}")
+    got = {r.list_id: r for r in lists.list_summary(checked).collect()}
+    assert got["L"].unique_satisfied_recording_ids == ["r1", "r2"] and got["L"].unique_satisfied_recordings == 2
+    assert got["M"].unique_satisfied_recording_ids == [] and got["M"].unknown == got["M"].unresolved == 1
