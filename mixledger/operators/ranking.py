@@ -365,16 +365,28 @@ def worth_probing(ranked: DataFrame, count: int | None = None) -> DataFrame:
     return (good if count is None else good.where(F.col("_n") <= count)).drop("_n")
 
 
-def plan_fetch(items: DataFrame, ranked: DataFrame, *, shown: int | None = None) -> DataFrame:
+#: What is shown of an upload.
+PICK = ["provider", "url", "title", "uploader", "duration", "score", "reasons", "available"]
+
+
+def gone(entries: DataFrame, availability: DataFrame) -> DataFrame:
+    """Entries that no longer play, and why: entries[request_id, url, ...], availability[url, available, reason]."""
+    lost = availability.where(~F.col("available")).select("url", "reason")
+    return entries.join(lost, "url").select("request_id", "provider", "url", "title", "uploader", "reason")
+
+
+def plan_fetch(items: DataFrame, ranked: DataFrame, *, skipped: DataFrame | None = None, shown: int | None = None) -> DataFrame:
     """Missing items with the upload to fetch, or those to choose from and why.
 
-    ``shown`` cuts the options and alternates of a report; ``n_options`` is their true number.
+    The items' own columns come first. ``picked`` and ``options`` show whole uploads; ``source`` and ``alternates`` are
+    addresses, each once. ``skipped`` (see ``gone``) adds the uploads that no longer play. ``shown`` cuts the options and
+    alternates of a report; ``n_options`` is their true number.
     """
     ranked = cut_lineage(ranked)  # read three times
-    best = ranked.where("confident").select("request_id", F.struct("url", "title", "duration").alias("_best"))
+    best = ranked.where("confident").select("request_id", F.struct(*PICK).alias("_best"))
     inside = F.lit(True) if shown is None else F.col("rank") <= shown
     options = ranked.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.when(inside, F.struct("rank", "url", "title")))).alias("options"),
+        F.array_sort(F.collect_list(F.when(inside, F.struct("rank", *PICK)))).alias("options"),
         F.count("*").alias("n_options"),
     )
     length = ranked.join(best, "request_id").where(
@@ -382,24 +394,27 @@ def plan_fetch(items: DataFrame, ranked: DataFrame, *, shown: int | None = None)
         & ~F.col("other_version")
         & (F.col("official") | F.col("label") | F.coalesce(F.abs(F.col("duration") - F.col("_best.duration")) <= SAME_LENGTH, F.lit(False)))
     )
-    w = Window.partitionBy("request_id").orderBy("rank")
-    others = (
-        length.withColumn("_n", F.row_number().over(w))
-        .where(F.lit(True) if shown is None else F.col("_n") <= shown)
-        .groupBy("request_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("alternates"))
-    )
+    urls = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]))
+    others = length.groupBy("request_id").agg((urls if shown is None else F.slice(urls, 1, shown)).alias("alternates"))
     rows = items.where(F.col("state") == "missing").join(best, "request_id", "left")
     rows = rows.join(options, "request_id", "left").join(others, "request_id", "left")
+    more = []
+    if skipped is not None:
+        upload = F.struct("provider", "url", "title", "uploader", "reason")
+        lost = skipped.groupBy("request_id").agg(F.array_sort(F.collect_set(upload)).alias("skipped"))
+        rows = rows.join(lost, "request_id", "left")
+        more = ["skipped"]
     return rows.select(
-        "request_id",
+        *(c for c in items.columns if c != "state"),
         F.when(F.col("_best").isNotNull(), "chosen").otherwise("undecided").alias("decision"),
         F.col("_best.url").alias("source"),
+        F.col("_best").alias("picked"),
         "alternates",
         F.when(F.col("_best").isNotNull(), None)
         .when(F.col("options").isNull(), "nothing found")
-        .otherwise("no clear match")
+        .otherwise("no confident match")
         .alias("reason"),
         "options",
         F.coalesce("n_options", F.lit(0)).alias("n_options"),
+        *more,
     )
