@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from mixledger.functions.labels import clean_key, key_order, with_forms
 from mixledger.operators import lists
-from mixledger.operators.matching import check_lists, check_states
+from mixledger.operators.matching import check_lists, check_states, other_mixes
 
 CATALOG = "recording_id string, revision_id string, identity_key string, artist string, title string, version string, sha256 string"
 ITEM = (
@@ -187,3 +187,31 @@ def test_summary_names_the_recordings_of_a_list(spark):
     got = {r.list_id: r for r in lists.list_summary(checked).collect()}
     assert got["L"].unique_satisfied_recording_ids == ["r1", "r2"] and got["L"].unique_satisfied_recordings == 2
     assert got["M"].unique_satisfied_recording_ids == [] and got["M"].unknown == got["M"].unresolved == 1
+
+
+def test_shopping_list_shows_all_mixes_times_and_searches(spark):
+    catalog = [("1", "Bicep", "Glue", "Dub"), ("2", "Bicep", "Glue (Radio Edit)", ""), ("3", "Bicep", "Glue", "Dub"), ("4", "Bicep", "Glue", ""),
+               ("5", "Robert Glasper", "Cherish", ""), ("6", "Own", "Song", "")]
+    held = spark.createDataFrame([(r, f"v{r}", f"{a}|{t}|{v}", a, t, v, f"sha{r}") for r, a, t, v in catalog], CATALOG)
+    places = held.select("revision_id", F.concat(F.lit("/m/"), "recording_id").alias("path"), F.lit(True).alias("managed"))
+    inventory = held.select(F.concat(F.lit("/m/"), "recording_id").alias("path"), "sha256", F.lit("readable").alias("status"))
+    asked = [("named", "Bicep", "Glue", "Rework", "1:00"), ("named", "Robert Glasper Experiment", "Cherish", "", "2:00"),
+             ("named", "A & B*~", "New feat. C (Original Mix) [LABEL]", "", "3:00"), ("unknown", None, None, None, "4:00"), ("named", "Own", "Song", "", "5:00")]
+    items = spark.createDataFrame(
+        [("L", i, f"i{i}", *x) for i, x in enumerate(asked)],
+        "list_id string, position int, item_id string, kind string, artist string, title string, version string, timestamp string",
+    )
+    for check in (check_lists, check_states):
+        table = lists.set_table(check(items, held, places, inventory))
+        mixes = other_mixes(table.where("own = 'other_mix'"), held)
+        got = lists.shopping_list(table, mixes).orderBy("position").collect()
+        assert [(r.section, r.timestamp, r.you_own, r.mixes) for r in got] == [
+            ("other mix", "1:00", "Bicep - Glue (Dub)", ["Dub", "Radio Edit", "Glue"]), ("maybe", "2:00", "Robert Glasper - Cherish", None),
+            ("missing", "3:00", None, None), ("ids", "4:00", None, None),
+        ]
+        assert got[2].shop == {
+            "beatport": "https://www.beatport.com/search?q=A+%26+B%2A~+New",
+            "bandcamp": "https://bandcamp.com/search?q=A+%26+B%2A~+New&item_type=t",
+            "traxsource": "https://www.traxsource.com/search?term=A+%26+B%2A~+New",
+        }
+        assert got[0].shop["beatport"].endswith("?q=Bicep+Glue+Rework") and got[3].shop is None
